@@ -4,16 +4,17 @@ A document is its set of word shingles. Documents with the same set are one
 node from the start. Nodes get SAMPLES MinHash values, BANDS bands of ROWS of
 them; nodes that share a band are candidates. The samples are also folded into
 an odd sketch, a bitmap of parities: the bits in which two sketches differ tell
-how many samples differ, so candidates far below the threshold go without their
-sets being fetched. The others are confirmed on their full sets.
+how many samples differ. A second odd sketch, of the set itself, tells the size
+of the sets' difference. Candidates that either puts far below the threshold go
+without their sets being fetched; the others are confirmed on their full sets.
 
 Links only have to give the right components, so a bucket's pairs are not all
-made. First every member of a bucket is tried against the bucket's centre, its
-smallest node (large buckets have centres of parts, and those a common one). What that
-links becomes one component. Then, for buckets that still hold several
-components, each member outside the bucket's main component is tried against
-all members of other components. No pair that shares a band is left out, unless
-both are in one component already.
+made. In a few rounds each node of a bucket with several components tries one
+centre, the closest of those that its buckets draw, and components merge along
+confirmed links. Then, for buckets that still hold several components, each
+member outside the bucket's main component is tried against all members of other
+components. So no pair that shares a band is left out, unless both are in one
+component already.
 """
 
 from __future__ import annotations
@@ -31,11 +32,13 @@ from glyphloom.llm.common import BROADCAST_ROWS, semi, skew_join, small_batches,
 #: A pair of similarity 0.8 shares no band with a chance of (1 - 0.8**4)**28 = 4e-7.
 BANDS, ROWS = 28, 4
 SAMPLES = BANDS * ROWS
-#: Bits of the odd sketch. Sketches of a pair of similarity s differ in about BITS / 2 * (1 - exp(-4 * (1 - s) * SAMPLES / BITS)) bits:
-#: 40 at 0.8. MOST is over six deviations above, so it costs no true pair; unrelated pairs differ in 150.
+#: Bits of the odd sketch of the samples. Those of a pair of similarity s differ in about BITS / 2 * (1 - exp(-4 * (1 - s) * SAMPLES / BITS))
+#: bits: 41 at 0.8. MOST is over six deviations above, so it costs no true pair; unrelated pairs differ in 150.
 BITS, MOST = 512, 88
-#: Members of a part of a bucket that has a centre of its own, and parts that a bucket is dealt into.
-PARTS = 16
+#: Bits of the odd sketch of the set, and deviations above the expected count that a pair at the threshold may differ by.
+SET_BITS, SIGMAS = 1024, 6
+#: Rounds in which nodes try one centre each.
+ROUNDS = 4
 PERCENT = 80
 _SEED = np.random.default_rng(20)
 _MUL = (_SEED.integers(1, 1 << 63, SAMPLES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -71,7 +74,7 @@ class Shingler:
 
 
 def signature(shingles: np.ndarray) -> tuple[list[int], bytes]:
-    """The bands' hashes and the odd sketch of a non-empty set."""
+    """The bands' hashes and the two odd sketches, one after the other, of a non-empty set."""
     low = np.full(SAMPLES, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(shingles), 512):
         np.minimum(low, (shingles[None, i : i + 512] * _MUL[:, None] + _ADD[:, None]).min(1), out=low)
@@ -82,8 +85,9 @@ def signature(shingles: np.ndarray) -> tuple[list[int], bytes]:
         bands ^= bands >> np.uint64(30)
     bands = (bands + np.arange(BANDS, dtype=np.uint64)) * _K2  # a band's hash tells its number
     bit = ((mixed + np.arange(SAMPLES, dtype=np.uint64)) * _K1) >> np.uint64(64 - 9)
-    sketch = np.packbits(np.bincount(bit.astype(np.int64), minlength=BITS) & 1).tobytes()
-    return bands.view(np.int64).tolist(), sketch
+    sketch = np.packbits(np.bincount(bit.astype(np.int64), minlength=BITS) & 1)
+    whole = np.packbits(np.bincount(((shingles * _K3) >> np.uint64(64 - 10)).astype(np.int64), minlength=SET_BITS) & 1)
+    return bands.view(np.int64).tolist(), np.concatenate([sketch, whole]).tobytes()
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
@@ -106,47 +110,59 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n long, own binary, bands array<long>, sketch array<long>")
 
 
-def _differ(a: str, b: str) -> F.Column:
-    """In how many bits two sketches differ."""
+def _differ(a: str, b: str, first: int, last: int) -> F.Column:
+    """In how many bits the sketches' words from first to last differ."""
     total = F.lit(0)
-    for i in range(BITS // 64):
+    for i in range(first, last):
         total = total + F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i))))
     return total
 
 
 def _alike(a: str, b: str) -> F.Column:
-    """What a pair that may be linked must meet: sizes that allow the similarity, and close sketches."""
-    small, large = F.least(f"{a}_n", f"{b}_n"), F.greatest(f"{a}_n", f"{b}_n")
-    return (100 * small >= PERCENT * large) & (_differ(f"{a}_sketch", f"{b}_sketch") <= MOST)
+    """What a pair that may be linked must meet: sizes that allow the similarity, and close sketches.
+
+    Sets at the threshold differ in most = (|A| + |B|) (1 - s) / (1 + s) shingles at most. Their sketches can't differ in
+    more bits than that, and hardly in more than expected plus SIGMAS deviations.
+    """
+    n = F.col(f"{a}_n") + F.col(f"{b}_n")
+    most = F.floor(n * (100 - PERCENT) / (100 + PERCENT))
+    usual = SET_BITS / 2 * (1 - F.exp(most * (-2 / SET_BITS))) + SIGMAS * F.sqrt(SET_BITS / 4 * (1 - F.exp(most * (-4 / SET_BITS)))) + 1
+    sizes = 100 * F.least(f"{a}_n", f"{b}_n") >= PERCENT * F.greatest(f"{a}_n", f"{b}_n")
+    cut = BITS // 64
+    return sizes & (_differ(f"{a}_sketch", f"{b}_sketch", 0, cut) <= MOST) & (_differ(f"{a}_sketch", f"{b}_sketch", cut, cut + SET_BITS // 64) <= F.least(most, usual))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """The pairs (a, b: doc_ids) whose full sets meet the threshold. Sets are made again from the whole texts, only for these documents."""
-    spark = docs.sparkSession
-    ids = staged(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "candidates")
-    small_batches(spark)
+def full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """doc_id and set (the bytes of its sorted hashes), made again from the whole texts of the documents in ids."""
+    small_batches(docs.sparkSession)
 
     def sets(batches):
         shingler = Shingler(width)
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "s": [shingler(t if isinstance(t, str) else "").tobytes() for t in pdf["text"]]})
 
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return staged(semi(plain, ids).mapInPandas(sets, "doc_id long, s binary"), "sets")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b: doc_ids) whose full sets meet the threshold."""
+
     def links(batches):
         for pdf in batches:
             keep = []
             for x, y in zip(pdf["sa"], pdf["sb"], strict=True):
                 p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = len(p) + len(q) - len(np.unique(np.concatenate([p, q]))) if len(p) != len(q) or x != y else len(p)
+                common = len(p) + len(q) - len(np.unique(np.concatenate([p, q])))
                 keep.append(100 * common >= PERCENT * (len(p) + len(q) - common) > 0)
             yield pdf.loc[keep, ["a", "b"]]
 
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    own = staged(semi(plain, ids).mapInPandas(sets, "doc_id long, s binary"), "sets")
-    # A centre's set goes to as many parts as its pairs need: each part has 500 pairs or so.
-    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / 500).cast("int").alias("parts"))
-    left = own.join(parts, own["doc_id"] == parts["a"]).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("s").alias("sa"))
-    spread = pairs.join(own.withColumnRenamed("s", "sb"), pairs["b"] == own["doc_id"]).join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
-    return spread.select("a", "b", "part", "sb").join(left, ["a", "part"]).select("a", "b", "sa", "sb").mapInPandas(links, "a long, b long").distinct()
+    # A centre's set goes to as many parts as its pairs need: each part has 200 pairs or so.
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / 200).cast("int").alias("parts"))
+    left = sets.join(parts, sets["doc_id"] == parts["a"]).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("s").alias("sa"))
+    spread = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
+    both = spread.join(sets.withColumnRenamed("s", "sb"), spread["b"] == sets["doc_id"]).select("a", "b", "part", "sb").join(left, ["a", "part"])
+    return both.select("a", "b", "sa", "sb").mapInPandas(links, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -183,33 +199,51 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     nodes = staged(signed.filter("n > 0").groupBy("own").agg(F.min("doc_id").alias("node"), F.count("*").alias("times"), F.max("n").alias("n")), "nodes")
     firsts = signed.filter("n > 0").select("own", "doc_id", "n", "sketch", "bands").join(nodes.select("own", F.col("node").alias("doc_id")), ["own", "doc_id"])
     firsts = firsts.dropDuplicates(["own"]).select(F.col("doc_id").alias("node"), "n", "sketch", "bands")
-    banded = firsts.select("node", "n", "sketch", F.explode("bands").alias("band"))
-    crowded = banded.groupBy("band").agg(F.count("*").alias("members"), F.min("node").alias("centre")).filter("members > 1")
-    members = staged(banded.join(crowded, "band"), "members")
-    # First tries: against the part's centre, and parts' centres against the bucket's.
-    part = F.when(F.col("members") <= 1_000, F.lit(0)).otherwise(F.pmod(F.xxhash64("node"), F.lit(PARTS))).cast("int")
-    parted = members.withColumn("part", part)
-    facts = F.struct("node", "n", "sketch")
-    centres = parted.groupBy("band", "part").agg(F.min(facts).alias("c"))
-    tops = centres.groupBy("band").agg(F.min("c").alias("c"))
-    two = lambda df, a, b: df.select(F.col(f"{a}.node").alias("a"), F.col(f"{a}.n").alias("a_n"), F.col(f"{a}.sketch").alias("a_sketch"), F.col(f"{b}.node").alias("b"), F.col(f"{b}.n").alias("b_n"), F.col(f"{b}.sketch").alias("b_sketch")).filter(F.col("a") != F.col("b")).filter(_alike("a", "b")).select("a", "b")
-    tries = two(parted.withColumn("m", facts).join(centres, ["band", "part"]), "c", "m").unionByName(two(centres.withColumnRenamed("c", "m").join(tops, "band"), "c", "m"))
-    tries = staged(tries.distinct(), "tries")
-    links = staged(confirmed(tries, docs, width), "links")
-    joined = staged(components(links), "components")
-    # Then: buckets with several components.
-    named = staged(members.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")).select("band", "node", "n", "sketch", "component"), "named")
+    firsts = staged(firsts, "firsts")
+    slim = firsts.select("node", F.explode("bands").alias("band"))
+    crowded = staged(slim.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1").select("band"), "crowded")
+    few = crowded.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    slim = staged(slim.join(F.broadcast(crowded) if few else crowded, "band"), "slim")
+    ids = staged(slim.select(F.col("node").alias("doc_id")).distinct(), "ids")
+    facts = semi(firsts.select(F.col("node").alias("doc_id"), "n", "sketch"), ids).withColumnRenamed("doc_id", "node")
+    members = staged(slim.join(facts, "node"), "members")
+    sets = full_sets(docs, ids, width)
+    joined = staged(ids.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("component")), "components")
+
+    def merged(links: DataFrame) -> DataFrame:
+        """The components after these links between nodes."""
+        ends = links.join(joined.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a").join(joined.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b")
+        of = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()).withColumnRenamed("component", "now")
+        return staged(joined.join(of, joined["component"] == of["node"], "left").select(joined["node"], F.coalesce("now", "component").alias("component")), "components")
+
+    def side(df: DataFrame, x: str, *more: str) -> DataFrame:
+        return df.select("band", *[F.col(c).alias(f"{x}_{c}") for c in ("node", "n", "sketch", "component", *more)])
+
+    tried = []
+    for turn in range(ROUNDS):
+        named = members.join(joined, "node")
+        centre = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("draw"), "node", "n", "sketch", "component")).alias("c")
+        centres = named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), centre).filter("lo < hi").select("band", "c.*")
+        tries = side(named, "m").join(side(centres, "c"), "band").filter((F.col("m_component") != F.col("c_component")) & _alike("c", "m"))
+        closest = F.min(F.struct(_differ("c_sketch", "m_sketch", 0, BITS // 64).alias("z"), F.col("c_node").alias("c")))
+        tries = tries.groupBy("m_node").agg(closest.alias("x")).select(F.col("x.c").alias("a"), F.col("m_node").alias("b"))
+        tries = staged(tries, "tries")
+        if not tries.limit(1).count():
+            break
+        tried.append(tries)
+        joined = merged(staged(confirmed(tries, sets), "links"))
+    # Then all that is left of buckets with several components.
+    named = staged(members.join(joined, "node"), "named")
     sizes = named.groupBy("band", "component").count().groupBy("band").agg(F.max(F.struct("count", "component")).alias("main"), F.count("*").alias("kinds")).filter("kinds > 1").select("band", F.col("main.component").alias("main"))
     mixed = named.join(sizes, "band")
-    side = lambda df, x: df.select("band", F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("sketch").alias(f"{x}_sketch"), F.col("component").alias(f"{x}_component"), F.col("main").alias(f"{x}_main"))
-    left, right = side(mixed.filter("component <> main"), "a"), side(mixed, "b")
-    rest = left.join(right, "band").filter((F.col("a_component") != F.col("b_component")) & ((F.col("b_component") == F.col("b_main")) | (F.col("a") < F.col("b")))).filter(_alike("a", "b"))
-    # A pair that failed among the first tries fails again.
-    rest = staged(rest.select("a", "b").distinct().join(tries.unionByName(tries.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti"), "rest")
+    outside, all_ = side(mixed.filter("component <> main"), "a", "main"), side(mixed, "b", "main")
+    rest = outside.join(all_, "band").filter((F.col("a_component") != F.col("b_component")) & ((F.col("b_component") == F.col("b_main")) | (F.col("a_node") < F.col("b_node")))).filter(_alike("a", "b"))
+    rest = rest.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
+    for tries in tried:  # a pair that failed fails again
+        rest = rest.join(tries, ["a", "b"], "left_anti").join(tries.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
+    rest = staged(rest, "rest")
     if rest.limit(1).count():
-        more = staged(confirmed(rest, docs, width), "links")
-        if more.limit(1).count():
-            joined = staged(components(links.unionByName(more)), "components")
+        joined = merged(staged(confirmed(rest, sets), "links"))
     classes = nodes.join(joined, "node", "left").select("own", "times", F.coalesce("component", "node").alias("component"))
     out = skew_join(signed.select("doc_id", "n", "own"), classes, "own", "times", total)
     component = F.coalesce("component", "doc_id")
