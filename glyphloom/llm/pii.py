@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphloom.llm.common import BROADCAST_ROWS, staged, table
+from glyphloom.llm.common import staged, table
 
 # Kinds in their order, a literal that a text must hold, and patterns. Possessive quantifiers and the look-behind only keep
 # long runs linear: \G lets a match start where the last one ended, as plain search would.
@@ -98,10 +98,9 @@ def disclosures(docs: DataFrame, contexts: DataFrame) -> DataFrame:
     both = once.groupBy("entity", "t").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= SUPPORT)
     entity = once.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
     both = staged(both.join(entity, "entity"), "pairs")
-    wanted = staged(both.select("t").distinct(), "terms")
-    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    # Words are counted in each task before they are shuffled; only then are the wanted ones picked.
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(rf"[\p{{L}}]{{{TERM},}}+"), F.lit(0)))).alias("t"))
-    holds = words.join(F.broadcast(wanted), "t", "left_semi").groupBy("t").count() if few else words.groupBy("t").count().join(wanted, "t", "left_semi")
+    holds = words.groupBy("t").count().join(both.select("t").distinct(), "t", "left_semi")
     told = both.join(holds.withColumnRenamed("count", "n_t"), "t")
     pmi = F.log(F.col("n_te") * F.lit(float(total)) / (F.greatest("n_t", "n_te") * F.col("n_e")))
     own = F.log(F.lit(float(total)) / F.col("n_e"))
