@@ -100,7 +100,7 @@ def disclosures(docs: DataFrame, contexts: DataFrame) -> DataFrame:
     both = staged(both.join(entity, "entity"), "pairs")
     # Words are counted in each task before they are shuffled; only then are the wanted ones picked.
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(rf"[\p{{L}}]{{{TERM},}}+"), F.lit(0)))).alias("t"))
-    holds = words.groupBy("t").count().join(both.select("t").distinct(), "t", "left_semi")
+    holds = words.groupBy("t").count().join(both.select("t").distinct(), "t")
     told = both.join(holds.withColumnRenamed("count", "n_t"), "t")
     pmi = F.log(F.col("n_te") * F.lit(float(total)) / (F.greatest("n_t", "n_te") * F.col("n_e")))
     own = F.log(F.lit(float(total)) / F.col("n_e"))
