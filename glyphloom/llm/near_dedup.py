@@ -238,7 +238,7 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     mixed = named.join(sizes, "band")
     outside, all_ = side(mixed.filter("component <> main"), "a", "main"), side(mixed, "b", "main")
     rest = outside.join(all_, "band").filter((F.col("a_component") != F.col("b_component")) & ((F.col("b_component") == F.col("b_main")) | (F.col("a_node") < F.col("b_node")))).filter(_alike("a", "b"))
-    rest = rest.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
+    rest = staged(rest.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct(), "rest")
     for tries in tried:  # a pair that failed fails again
         rest = rest.join(tries, ["a", "b"], "left_anti").join(tries.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
     rest = staged(rest, "rest")
