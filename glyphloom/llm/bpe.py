@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from glyphloom.llm.common import table
 
 #: Hash slots for frequent words; times that such a word occurs at least; what stands for no rank; the token that stands before and after each word.
-SLOTS, WORTH, NONE = 1 << 18, 4, 1 << 60
+SLOTS, WORTH, NONE = 1 << 17, 4, 1 << 60
 EDGE = 65_535
 # What \s stands for in the pattern (Unicode's White_Space); Java's \s is ASCII only.
 SPACE = r"\t\n\x0B\f\r\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
@@ -50,12 +50,12 @@ def pair_table(vocab: dict[bytes, int]) -> tuple[list[int], list[int]]:
     rows: dict[int, dict[int, int]] = {}
     for token, rank in vocab.items():
         for i in range(1, len(token)):
-            left, right = vocab.get(token[:i]), vocab.get(token[i:])
-            if left is not None and right is not None:
+            left, right = vocab.get(token[:i], -1), vocab.get(token[i:], -1)
+            if min(left, right) >= 0:
                 rows.setdefault(left, {})[right] = rank
     width = EDGE + 1
-    offset, entries = np.zeros(width, np.int64), np.full(16 * width, NONE, np.int64)
-    free, start = np.ones(16 * width, bool), {}
+    offset, entries = np.zeros(width, np.int64), np.full(6 * width, NONE, np.int64)
+    free, start = np.ones(6 * width, bool), {}
     for left, row in sorted(rows.items(), key=lambda x: (-len(x[1]), x[0])):
         cols = np.array(sorted(row), np.int64)
         at = start.get(len(row), 0)  # rows of one size go on where the last was placed
@@ -86,14 +86,15 @@ class Codec:
         for t, r in vocab.items():
             pieces[r] = t.decode("latin-1")
         words = [r.to_bytes(4, "little").decode("latin-1") for r in range(len(pieces))]
-        self.tables = {"offset": ("array<int>", offset), "entries": ("array<bigint>", entries), "first": ("array<int>", first), "pairs": ("array<bigint>", by_bytes), "pieces": ("array<string>", pieces), "words": ("array<string>", words)}
         self._columns: dict[str, Column] = {}
-        for name, (kind, values) in self.tables.items():
+        # Plans hold these arrays; their descriptions needn't.
+        spark.conf.set("spark.sql.maxPlanStringLength", "8192")
+        for name, kind, values in (("offset", "array<int>", offset), ("entries", "array<bigint>", entries), ("first", "array<int>", first), ("pairs", "array<bigint>", by_bytes), ("pieces", "array<string>", pieces), ("words", "array<string>", words)):
             self._literal(name, kind, values)
 
-    def _literal(self, name: str, kind: str, values) -> None:
+    def _literal(self, name: str, kind: str, values: list) -> None:
         """An array as a literal: the optimizer folds the parsing of its JSON once, before the plan runs."""
-        self._columns[name] = F.from_json(F.lit(json.dumps([x.item() if isinstance(x, np.generic) else x for x in values])), kind)
+        self._columns[name] = F.from_json(F.lit(json.dumps(values, separators=(",", ":"), ensure_ascii=False)), kind)
 
     def _table(self, name: str) -> Column:
         return self._columns[name]
@@ -137,10 +138,9 @@ class Codec:
         counts = docs.select(F.explode(self.words(F.col("text"))).alias("w")).groupBy("w").count().filter(F.col("count") >= WORTH)
         slot = F.pmod(F.xxhash64("w"), F.lit(SLOTS)).cast("int")
         best = counts.groupBy(slot.alias("slot")).agg(F.max(F.struct("count", "w")).alias("b"))
-        got = best.select("slot", "b.w").withColumn("ids", self.fold(F.col("w"))).toPandas()
         known, ids = [None] * SLOTS, [None] * SLOTS
-        for s, w, x in zip(got["slot"], got["w"], got["ids"], strict=True):
-            known[s], ids[s] = w, list(map(int, x))
+        for s, w, x in best.select("slot", "b.w", self.fold(F.col("b.w")).alias("ids")).toLocalIterator():
+            known[s], ids[s] = w, x
         self._literal("known", "array<string>", known)
         self._literal("known_ids", "array<array<int>>", ids)
 
