@@ -72,9 +72,10 @@ def scan(docs: DataFrame, ledger: str) -> DataFrame:
     # A row needs no scan if its blob has another owner or has been scanned by all rules. The scan of the rest is a
     # narrow pass over the texts: the rows to leave out are few, or else they come by a shuffle.
     settled = work.filter(F.size("todo") == 0)
-    skip = staged(paths.join(blobs.filter("n > 1").select("blob", "owner"), "blob").filter("doc_id <> owner").select("doc_id").unionByName(paths.join(settled.select("blob"), "blob").select("doc_id")).distinct(), "skip")
+    skip = staged(paths.join(blobs.filter("n > 1").select("blob", "owner"), "blob").filter("doc_id <> owner").select("doc_id", "blob").unionByName(paths.join(settled.select("blob"), "blob").select("doc_id", "blob")).distinct().select(F.col("doc_id").alias("skip_id"), F.col("blob").alias("skip_blob")), "skip")
     few = skip.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    fresh = named.join(F.broadcast(skip) if few else skip, "doc_id", "left_anti").select("blob", "text")
+    same = (F.col("blob") == F.col("skip_blob")) & F.col("doc_id").eqNullSafe(F.col("skip_id"))
+    fresh = named.join(F.broadcast(skip) if few else skip, same, "left_anti").select("blob", "text")
     partly = staged(work.filter((F.size("todo") > 0) & (F.size("todo") < len(now))).select("blob", "todo"), "partly")  # rules that are newer than the blob's last scan
     if partly.limit(1).count():
         fresh = fresh.join(partly, "blob", "left").withColumn("todo", F.coalesce("todo", F.array(*map(F.lit, now))))
