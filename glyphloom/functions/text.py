@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # White space as a Unicode string method sees it; Java's \s is ASCII only.
 SPACE = r"\t-\r\x1c-\x20\x85\xa0  -     　"
@@ -27,7 +28,7 @@ def fold_table() -> tuple[str, str]:
 FOLD_FROM, FOLD_TO = fold_table()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(texts: pd.Series) -> pd.Series:
     """Normalisation form C, which Spark lacks."""
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
