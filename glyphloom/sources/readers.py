@@ -38,8 +38,3 @@ def containers(spark: SparkSession, folder: str, suffixes: str = "*.{rtf,doc,xls
     """path and content of binary files; those over `most` bytes (0: no limit) are left out before any content is read."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", suffixes).option("recursiveFileLookup", "true").load(folder)
     return (raw.filter(F.col("length") <= most) if most else raw).select("path", "content")
-
-
-def declared_fonts(content) -> F.Column:
-    """Distinct names of legacy fonts that the bytes of an RTF or PDF file declare, sorted."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(F.decode(content, "ISO-8859-1"), F.lit(r"(\.Vn[A-Za-z]+|VNI[- ][A-Za-z-]+|VPS[A-Za-z-]+|ABC[A-Za-z]*)"), F.lit(1))))
