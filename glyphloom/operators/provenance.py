@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from glyphloom.functions import naming
+
 
 def violations(ledger: DataFrame, files: DataFrame, truths: DataFrame) -> DataFrame:
     """file and problem: files without an entry, entries without a file, ready entries without a transcript.
@@ -25,3 +27,22 @@ def fresh(candidates: DataFrame, seen: DataFrame, key: str, order: str) -> DataF
     """Candidates whose key is new: one of each key, the first by order, and none that seen has."""
     first = candidates.withColumn("rn", F.row_number().over(W.partitionBy(key).orderBy(order))).filter("rn = 1").drop("rn")
     return first.join(seen.select(key).distinct(), key, "left_anti")
+
+
+def named(candidates: DataFrame, held: DataFrame) -> DataFrame:
+    """candidates (url, timestamp, kind) with the name of the file that each becomes: year-stem.kind.
+
+    Transcripts go by the stem, so a stem belongs to one kind: that of held's (file) names, or else of the first candidate by
+    timestamp, url and kind. Candidates of other kinds are named year-stem-kind.kind. Only distinct stems and kinds are shuffled and gathered.
+    """
+    own = candidates.withColumn("stem", F.concat(F.substring("timestamp", 1, 4), F.lit("-"), naming.safe_stem("url", "kind")))
+    taken = held.select(F.regexp_extract("file", r"^(.*)\.[^.]*$", 1).alias("stem"), F.regexp_extract("file", r"\.([^.]*)$", 1).alias("k")).filter(F.col("k").isin(*naming.KINDS)).groupBy("stem").agg(F.collect_set("k").alias("kinds"))
+    first = own.groupBy("stem").agg(F.min(F.struct("timestamp", "url", "kind"))["kind"].alias("k"))
+    owner = first.join(taken, "stem", "left").select("stem", F.coalesce("kinds", F.array("k")).alias("kinds"))
+    clash = F.exists("kinds", lambda k: k != F.col("kind"))
+    return own.join(owner, "stem", "left").withColumn("name", F.concat("stem", F.when(clash, F.concat(F.lit("-"), "kind")).otherwise(""), F.lit("."), "kind")).drop("kinds", "stem")
+
+
+def replaced(ledger: DataFrame, fresh_rows: DataFrame, mark: str) -> DataFrame:
+    """The ledger in which rows whose file begins with mark give way to fresh_rows."""
+    return ledger.filter(~F.coalesce(F.col("file").startswith(mark), F.lit(False))).unionByName(fresh_rows)
