@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from glyphloom.llm.common import table
 
-#: Hash slots for frequent words; times that such a word occurs at least; what stands for no rank; the token that stands before and after each word.
-SLOTS, WORTH, NONE = 1 << 17, 4, 1 << 60
+#: Hash slots for frequent words; times that such a word occurs at least; what stands for no rank (over all entries; short, as plans hold it often); the token that stands before and after each word.
+SLOTS, WORTH, NONE = 1 << 17, 4, 1 << 34
 EDGE = 65_535
 # What \s stands for in the pattern (Unicode's White_Space); Java's \s is ASCII only.
 SPACE = r"\t\n\x0B\f\r\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
@@ -99,9 +99,9 @@ class Codec:
     def _table(self, name: str) -> Column:
         return self._columns[name]
 
-    def _rank(self, left: Column, right: Column) -> Column:
-        """The rank of the joined bytes, or a number of 65,536 or more: an entry of another row keeps higher bits."""
-        return F.get(self._table("entries"), F.get(self._table("offset"), left) + right).bitwiseXOR(F.shiftleft(left.cast("bigint"), 17))
+    def _ranks(self, lefts: Column, rights: Column) -> Column:
+        """The ranks of the joined bytes, or numbers of 65,536 or more: an entry of another row keeps higher bits. One place in the plan, so that it holds the tables once."""
+        return F.zip_with(lefts, rights, lambda a, b: F.get(self._table("entries"), F.get(self._table("offset"), a) + b).bitwiseXOR(F.shiftleft(a.cast("bigint"), 17)))
 
     def fold(self, word: Column) -> Column:
         """The token ids of one non-empty word."""
@@ -121,7 +121,7 @@ class Codec:
         def merge(s: Column) -> Column:
             low, at = s["low"].cast("int"), s["at"]
             ids = F.concat(F.slice(s["ids"], F.lit(1), at - 1), F.array(low), F.slice(s["ids"], at + 2, F.size(s["ids"])))
-            ranked = F.concat(F.slice(s["ranks"], F.lit(1), at - 2), F.array(self._rank(F.get(s["ids"], at - 2), low), self._rank(low, F.get(s["ids"], at + 1))), F.slice(s["ranks"], at + 2, F.size(s["ranks"])))
+            ranked = F.concat(F.slice(s["ranks"], F.lit(1), at - 2), self._ranks(F.array(F.get(s["ids"], at - 2), low), F.array(low, F.get(s["ids"], at + 1))), F.slice(s["ranks"], at + 2, F.size(s["ranks"])))
             return let(F.struct(ids.alias("ids"), ranked.alias("ranks")), least)
 
         def whole(b: Column) -> Column:
