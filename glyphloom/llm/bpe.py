@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphloom.llm.common import table
+from glyphloom.llm.common import staged, table
 
 #: Hash slots for frequent words; times that such a word occurs at least; what stands for no rank (over all entries; short, as plans hold it often); the token that stands before and after each word.
 SLOTS, WORTH, NONE = 1 << 17, 4, 1 << 34
@@ -139,7 +139,8 @@ class Codec:
         slot = F.pmod(F.xxhash64("w"), F.lit(SLOTS)).cast("int")
         best = counts.groupBy(slot.alias("slot")).agg(F.max(F.struct("count", "w")).alias("b"))
         known, ids = [None] * SLOTS, [None] * SLOTS
-        for s, w, x in best.select("slot", "b.w", self.fold(F.col("b.w")).alias("ids")).toLocalIterator():
+        folded = staged(best.select("slot", "b.w", self.fold(F.col("b.w")).alias("ids")), "bpe-words")  # all tasks at once, the tables sent once
+        for s, w, x in folded.toLocalIterator():
             known[s], ids[s] = w, x
         self._literal("known", "array<string>", known)
         self._literal("known_ids", "array<array<int>>", ids)
