@@ -7,7 +7,8 @@ n(t) of which hold term t, n(e) contexts of entity e and n(t, e) contexts that
 hold both, the pointwise mutual information log(n(t,e) N / (n(t) n(e))) is set
 against the entity's own information log(N / n(e)). A term that discloses a
 share of GENERALISE or more is replaced by its class, one that discloses REMOVE
-or more is removed.
+or more is removed. The share alone decides, at any n(t, e): n(t) over all
+documents is the background, so for an entity seen once only rare terms pass.
 
 Only DataFrame operations are used: positions come from splitting a text by the
 pattern that also lists its matches.
@@ -27,8 +28,8 @@ EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++){3}+"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: Words within so many characters of an entity are its context; a term has TERM letters or more; contexts that must hold both.
-NEAR, TERM, SUPPORT = 60, 4, 3
+#: Words within so many characters of an entity are its context; a term has TERM letters or more.
+NEAR, TERM = 60, 4
 GENERALISE, REMOVE = 0.8, 0.95
 SPAN = "array<struct<s:int,kind:int,e:int,v:string>>"
 
@@ -95,7 +96,7 @@ def disclosures(docs: DataFrame, contexts: DataFrame) -> DataFrame:
     """
     total = docs.count()
     once = contexts.distinct()
-    both = once.groupBy("entity", "t").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= SUPPORT)
+    both = once.groupBy("entity", "t").agg(F.count("*").alias("n_te"))
     entity = once.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
     both = staged(both.join(entity, "entity"), "pairs")
     # Words are counted in each task before they are shuffled; only then are the wanted ones picked.

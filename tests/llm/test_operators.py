@@ -202,6 +202,13 @@ def test_pii_terms(spark):
     assert "Zanzibarov" not in out[0]["text"] and "z@x.org" not in out[0]["text"] and "contact" in out[0]["text"] and out[100]["text"] == rest[0][1]
 
 
+def test_pii_terms_once(spark):
+    told = [(1, "we contact number Zanzibarov at z@x.org today")]
+    rest = [(100 + i, f"today we contact number {i} at noon with filler words") for i in range(200)]
+    out = {r["doc_id"]: r for r in pii.sanitise(spark.createDataFrame(told + rest, "doc_id long, text string")).collect()}
+    assert out[1]["text"] == "we contact number  at <EMAIL> today" and out[100]["text"] == rest[0][1]
+
+
 def test_quality_rules(hard, docs):
     assert quality_rules.counts("a b c a b c\n\na b c a b c\nx #") == (14, 14, 1, 1, 12)
     assert quality_rules.counts("") == (0, 0, 0, 0, 0) and quality_rules.counts(" # ")[:3] == (1, 1, 1)
