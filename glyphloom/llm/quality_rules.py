@@ -26,8 +26,9 @@ SPACES = " \t\n\x0b\x0c\r"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Share of a group that the estimate rests on, steps, rows from which a group has its own estimate.
 COVERAGE, STEPS, MIN_GROUP = 0.75, 4, 200
-#: Squared distance beyond which a row goes. For four normal statistics a distance of 60 has a chance of 3e-12; real ones have heavier tails.
-CUT = 60.0
+#: Squared distance beyond which a row goes: the point that a chi-square with 4 degrees of freedom exceeds with chance TAIL.
+TAIL = 1e-5
+CUT = 28.473255
 #: A statistic is stored in units of 1 / UNIT. Least standard deviation of each one, for groups in which most rows have the same value.
 UNIT = 1000
 FEATURES = ("word_length", "symbols", "dup_lines", "repeats")

@@ -215,3 +215,12 @@ def test_quality_rules(hard, docs):
     out = quality_rules.rules(hard)
     assert out.count() == len(HARD) and out.filter("kept and base_failed").count() == 0
     assert quality_rules.rules(hard.limit(0)).count() == 0 and quality_rules.accepted(docs).columns == docs.columns
+
+
+def test_quality_cut(spark):
+    cut = quality_rules.CUT
+    assert abs(np.exp(-cut / 2) * (1 + cut / 2) / quality_rules.TAIL - 1) < 1e-4
+    whole = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{whole}/labels.parquet").select("doc_id", "quality").distinct()
+    got = {(r["quality"], r["kept"]): r["count"] for r in quality_rules.rules(spark.read.parquet(f"{whole}/documents.parquet")).filter("not base_failed").join(labels, "doc_id").groupBy("quality", "kept").count().collect()}
+    assert got.get((0, True), 0) == 0 and got.get((0, False), 0) > 250 and got.get((1, False), 0) < 0.005 * got[1, True]
