@@ -1,10 +1,10 @@
 """License scans by ordered signature rules.
 
 Each rule is a regular expression over the lower-cased text with a label, a
-priority and a keyword. An Aho-Corasick automaton over the keywords says which
-rules a text needs at all. Overlapping detections are resolved by interval
-containment: a detection that lies inside one of higher priority, or inside a
-longer one of equal priority, is suppressed.
+priority and keywords, one of which every match contains. An Aho-Corasick
+automaton over the keywords says which rules a text needs at all. Overlapping
+detections are resolved by interval containment: a detection that lies inside
+one of higher priority, or inside a longer one of equal priority, is suppressed.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from glyphloom.llm.common import by_text, table
 # Phrases of the base and their labels.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 
-# Label, the keyword that a text must hold, names as patterns, identifiers as patterns, addresses as patterns.
+# Label, the keyword that a match must hold, names as patterns, identifiers as patterns, addresses as patterns.
 _ = r"[\s,_-]+"
 FAMILIES = (
     ("gpl-3.0", "general public", [r"gnu general public licen[sc]e,? (?:version|v\.?) ?3"], [r"gpl-?v?3(?:\.0)?(?:-only|-or-later|\+)?"], [r"gnu\.org/licenses/gpl-3\.0"]),
@@ -83,16 +83,24 @@ FAMILIES = (
     ("postgresql", "postgresql", [r"\bpostgresql licen[sc]e"], [r"postgresql"], [r"postgresql\.org/about/licence"]),
 )
 
+#: Keywords of the names that can match without their family's one: every match holds one of them.
+_CC = tuple("cc" + c for c in " \t\n\r\f\v,_-")
+OWN_KEYS = {
+    "gnu gpl": ("gnu gpl",), "gnu lgpl": ("gnu lgpl",), r"\bexpat licen[sc]e": ("expat licen",), "berkeley software distribution": ("berkeley",),
+    "internet systems consortium licen[sc]e": ("internet systems",), "creative commons (?:zero|cc0)": ("creative commons",), "creative commons attribution": ("creative commons",),
+    **{n: _CC if n.startswith(r"\bcc") else ("attribution-",) for label, _, names, _, _ in FAMILIES if label.startswith("cc-by") for n in names if not n.startswith("creative")},
+}
 
-def rules() -> list[tuple[int, str, str, str, float]]:
-    """(priority, keyword, pattern, label, weight) in order: addresses and tags first, then grants, names and titles."""
+
+def rules() -> list[tuple[int, tuple[str, ...], str, str, float]]:
+    """(priority, keywords, pattern, label, weight) in order: addresses and tags first, then grants, names and titles."""
     out = []
     for label, key, names, ids, urls in FAMILIES:
-        out += [(4, u.split(r"\.")[0].split("(")[0].strip("\\b"), u, label, 0.9) for u in urls]
-        out += [(4, "spdx", rf"spdx-license-identifier:\s*\(?(?:[\w.+-]+\s+(?:or|and|with)\s+)*{i}(?![\w.+-])", label, 0.95) for i in ids]
-        out += [(3, key, rf"(?:licen[sc]ed|released|distributed|available|published|redistribute\S*|provided)\s+(?:\S+\s+){{0,5}}?(?:under|by|with)\s+(?:the\s+(?:terms\s+of\s+the\s+)?|an?\s+)?(?:{n})", label, 0.85) for n in names]
-        out += [(3, "licen", rf"\blicen[sc]e\s*[:=]\s*[\"']?{i}(?![\w.+-])", label, 0.8) for i in ids]
-        out += [(2, key, n, label, 0.6) for n in names]
+        out += [(4, (u.split(r"\.")[0].split("(")[0].strip("\\b"),), u, label, 0.9) for u in urls]
+        out += [(4, ("spdx",), rf"spdx-license-identifier:\s*\(?(?:[\w.+-]+\s+(?:or|and|with)\s+)*{i}(?![\w.+-])", label, 0.95) for i in ids]
+        out += [(3, OWN_KEYS.get(n, (key,)), rf"(?:licen[sc]ed|released|distributed|available|published|redistribute\S*|provided)\s+(?:\S+\s+){{0,5}}?(?:under|by|with)\s+(?:the\s+(?:terms\s+of\s+the\s+)?|an?\s+)?(?:{n})", label, 0.85) for n in names]
+        out += [(3, ("licen",), rf"\blicen[sc]e\s*[:=]\s*[\"']?{i}(?![\w.+-])", label, 0.8) for i in ids]
+        out += [(2, OWN_KEYS.get(n, (key,)), n, label, 0.6) for n in names]
     # A rule with a longer label of the same family tells more (gpl-3.0 before gpl).
     return sorted(out, key=lambda r: (-r[0], -len(r[3]), r[3], r[2]))
 
@@ -110,7 +118,8 @@ def scanner():
     gate = ahocorasick.Automaton()
     by_key: dict[str, list[int]] = {}
     for i, r in enumerate(RULES):
-        by_key.setdefault(r[1], []).append(i)
+        for key in r[1]:
+            by_key.setdefault(key, []).append(i)
     for key, places in by_key.items():
         gate.add_word(key, places)
     gate.make_automaton()

@@ -154,6 +154,42 @@ def test_licenses(spark, hard):
     assert license_scan.scan(hard).count() == len(HARD) and license_scan.scan(hard.limit(0)).count() == 0
 
 
+def examples(parsed):
+    """Small matches of a parsed pattern: each branch and set member, repeats at their least and one more."""
+    out = [""]
+    for op, x in parsed:
+        if str(op) == "LITERAL":
+            got = [chr(x)]
+        elif str(op) == "IN":
+            spread = {"CATEGORY_SPACE": " \t\n\r\f\v", "CATEGORY_NOT_SPACE": "x", "CATEGORY_WORD": "w"}
+            got = [c for o, a in x for c in (spread[str(a)] if str(o) == "CATEGORY" else chr(a) if str(o) == "LITERAL" else chr(a[0]))]
+        elif str(op) in ("MAX_REPEAT", "MIN_REPEAT"):
+            got = [e * k for k in sorted({x[0], min(x[1], x[0] + 1)}) for e in (examples(x[2]) if k else [""])]
+        elif str(op) == "BRANCH":
+            got = [e for b in x[1] for e in examples(b)]
+        elif str(op) == "SUBPATTERN":
+            got = examples(x[3])
+        else:
+            assert str(op) in ("AT", "ASSERT_NOT"), op
+            got = [""]
+        out = [a + b for a in out for b in got]
+        out = out[:: len(out) // 2_000 + 1]
+    return out
+
+
+def test_license_gate():
+    names = 0
+    for _, keys, pattern, *_ in license_scan.RULES:
+        made = [e for e in examples(re._parser.parse(pattern, re.ASCII)) if re.search(pattern, e, re.ASCII)]
+        names += bool(made)
+        for e in made:
+            m = re.search(pattern, e, re.ASCII)[0]
+            assert any(k in m for k in ([keys] if isinstance(keys, str) else keys)), (pattern, m)
+    assert names == len(license_scan.RULES)
+    one = license_scan.scanner()
+    assert [one(x)[5] for x in ("CC-BY-NC-SA 4.0", "Expat License", "GNU LGPL", "Creative Commons Zero")] == ["cc-by,cc-by-nc-sa", "mit", "lgpl", "cc0"]
+
+
 def test_classifier(spark):
     big = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{big}/labels.parquet")
