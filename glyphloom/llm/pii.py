@@ -2,13 +2,14 @@
 
 Base spans are e-mail addresses, IP addresses, card and phone numbers. Each is
 an occurrence of an entity (its value without case and separators). For the
-words near an entity the corpus says how much they tell of it: with N documents,
-n(t) of which hold term t, n(e) contexts of entity e and n(t, e) contexts that
-hold both, the pointwise mutual information log(n(t,e) N / (n(t) n(e))) is set
+words of a text with an entity the corpus says how much they tell of it: with N
+documents, n(t) of which hold term t, n(e) entity e and n(t, e) both, the
+pointwise mutual information log(n(t,e) N / (n(t) n(e))) is set
 against the entity's own information log(N / n(e)). A term that discloses a
 share of GENERALISE or more is replaced by its class, one that discloses REMOVE
-or more is removed. The share alone decides, at any n(t, e): n(t) over all
-documents is the background, so for an entity seen once only rare terms pass.
+or more is removed, at all its places in the text. The share alone decides, at
+any n(t, e): n(t) over all documents is the background, so for an entity seen
+once only rare terms pass. All counts are of rows, so copies count alike in each.
 
 Only DataFrame operations are used: positions come from splitting a text by the
 pattern that also lists its matches.
@@ -16,6 +17,8 @@ pattern that also lists its matches.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,14 +31,14 @@ EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++){3}+"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: Words within so many characters of an entity are its context; a term has TERM letters or more.
-NEAR, TERM = 60, 4
+#: A term is a whole word of letters, compared in lower case.
+TERM = r"[\p{L}]++"
 GENERALISE, REMOVE = 0.8, 0.95
 SPAN = "array<struct<s:int,kind:int,e:int,v:string>>"
 
 
-def located(text: Column, pattern: str, kind: int) -> Column:
-    """Structs s, kind, e, v of all matches, leftmost and non-overlapping, in code points."""
+def located(text: Column, pattern: str, kind: int, keep: Callable[[Column], Column] | None = None) -> Column:
+    """Structs s, kind, e, v of all matches (whose string keep accepts), leftmost and non-overlapping, in code points."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     both = F.arrays_zip(found.alias("m"), F.slice(gaps, 1, F.size(found)).alias("g"))
@@ -44,7 +47,8 @@ def located(text: Column, pattern: str, kind: int) -> Column:
     def step(acc: Column, x: Column) -> Column:
         s = acc["at"] + F.length(x["g"])
         e = s + F.length(x["m"])
-        return F.struct(e.alias("at"), F.array_append(acc["out"], F.struct(s.alias("s"), F.lit(kind).alias("kind"), e.alias("e"), x["m"].alias("v"))).alias("out"))
+        more = F.array_append(acc["out"], F.struct(s.alias("s"), F.lit(kind).alias("kind"), e.alias("e"), x["m"].alias("v")))
+        return F.struct(e.alias("at"), (more if keep is None else F.when(keep(x["m"]), more).otherwise(acc["out"])).alias("out"))
 
     return F.aggregate(both, start, step, lambda acc: acc["out"])
 
@@ -71,59 +75,60 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(email, ip, card, phone))
 
 
-def _terms(text: Column, spans: Column) -> Column:
-    """Per span the words near it: structs entity, s, e, t (lower case), outside all base spans. Bounded by NEAR each side."""
+def _entities(spans: Column) -> Column:
+    """The entities of base spans, each once."""
+    value = lambda x: F.when(x["kind"] == 0, F.lower(x["v"])).when(x["kind"] == 1, x["v"]).otherwise(F.regexp_replace(x["v"], "[^0-9]", ""))
+    return F.array_distinct(F.transform(spans, lambda x: F.concat_ws(":", x["kind"].cast("string"), value(x))))
 
-    def near(x: Column, left: bool) -> Column:
-        lo = F.greatest(x["s"] - NEAR, F.lit(0)) if left else x["e"]
-        piece = F.substring(text, lo + 1, x["s"] - lo if left else F.lit(NEAR))
-        cut = located(piece, rf"(?<![\p{{L}}])[\p{{L}}]{{{TERM},}}+", 4)
-        # A word cut by the window's edge doesn't count.
-        inside = (lambda w: (w["s"] > 0) | (lo == 0)) if left else (lambda w: (w["e"] < F.length(piece)) | (lo + F.length(piece) >= F.length(text)))
-        edge = F.filter(cut, inside)
-        entity = F.concat_ws(":", x["kind"].cast("string"), F.when(x["kind"] == 0, F.lower(x["v"])).when(x["kind"] == 1, x["v"]).otherwise(F.regexp_replace(x["v"], "[^0-9]", "")))
-        return F.transform(edge, lambda w: F.struct(entity.alias("entity"), (lo + w["s"]).alias("s"), (lo + w["e"]).alias("e"), F.lower(w["v"]).alias("t")))
 
-    all_ = F.flatten(F.transform(spans, lambda x: F.concat(near(x, True), near(x, False))))
-    return F.filter(all_, lambda w: ~F.exists(spans, lambda x: (x["s"] < w["e"]) & (w["s"] < x["e"])))
+def _terms(text: Column) -> Column:
+    """The terms of a text, each once."""
+    return F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0))), F.lower))
 
 
-def disclosures(docs: DataFrame, contexts: DataFrame) -> DataFrame:
-    """entity, t and share: how much of the entity's information the term discloses. Counts cover every document.
+def disclosures(docs: DataFrame, held: DataFrame) -> DataFrame:
+    """row, t and share: the terms of a row that disclose one of its entities, and the largest share. Counts cover every row.
 
-    docs: text of all rows. contexts: a row per occurrence of a word near an entity, with entity, t and context (a hash of
-    the words around it, so that copies of a passage count once).
+    docs: text of all rows. held: row (a number of its own), text and entities of the rows that hold any.
     """
     total = docs.count()
-    once = contexts.distinct()
-    both = once.groupBy("entity", "t").agg(F.count("*").alias("n_te"))
-    entity = once.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    both = staged(both.join(entity, "entity"), "pairs")
+    owned = held.select("row", F.explode("entities").alias("entity"))
+    entity = owned.groupBy("entity").agg(F.count("*").alias("n_e"))
+    owned = staged(owned.join(entity, "entity"), "owned")
+    # As n(t,e) <= min(n(t), n(e)), a share of GENERALISE takes n(t) <= N^(1 - GENERALISE) n(e)^GENERALISE; the margin is for rounding.
+    bound = lambda n_e: 1.000001 * float(total) ** (1 - GENERALISE) * F.pow(n_e, F.lit(GENERALISE))
     # Words are counted in each task before they are shuffled; only then are the wanted ones picked.
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(rf"[\p{{L}}]{{{TERM},}}+"), F.lit(0)))).alias("t"))
-    holds = words.groupBy("t").count().join(both.select("t").distinct(), "t")
-    told = both.join(holds.withColumnRenamed("count", "n_t"), "t")
-    pmi = F.log(F.col("n_te") * F.lit(float(total)) / (F.greatest("n_t", "n_te") * F.col("n_e")))
+    holds = docs.select(F.explode(_terms(F.col("text"))).alias("t")).groupBy("t").agg(F.count("*").alias("n_t"))
+    most = owned.agg(F.max("n_e")).first()[0] or 0
+    rare = holds.filter(F.col("n_t") <= bound(F.lit(most)))
+    words = held.select("row", F.explode(_terms(F.col("text"))).alias("t"))
+    both = words.join(rare, "t").join(owned, "row").filter(F.col("n_t") <= bound(F.col("n_e")))
+    both = staged(both.select("row", "entity", "t", "n_t", "n_e"), "pairs")
+    told = both.groupBy("entity", "t").agg(F.count("*").alias("n_te"), F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e"))
+    pmi = F.log(F.col("n_te") * F.lit(float(total)) / (F.col("n_t") * F.col("n_e")))
     own = F.log(F.lit(float(total)) / F.col("n_e"))
-    return told.withColumn("share", F.when(own > 0, pmi / own).otherwise(0.0)).filter(F.col("share") >= GENERALISE).select("entity", "t", "share")
+    told = told.withColumn("share", F.when(own > 0, pmi / own).otherwise(0.0)).filter(F.col("share") >= GENERALISE).select("entity", "t", "share")
+    return both.select("row", "entity", "t").join(told, ["entity", "t"]).groupBy("row", "t").agg(F.max("share").alias("share"))
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """doc_id, spans (structs s, kind, e, v; base ones and terms) and text with the spans generalised or removed, for every row.
 
     Null text counts as empty: no spans, empty text. Base spans become <KIND>; terms become <TERM>, or go if they disclose
-    REMOVE or more. Only words near an entity of the same row are terms, so a row without entities stays as it is.
+    REMOVE or more. Only words of a row with an entity are terms, so a row without entities stays as it is.
     Overlapping spans are replaced as one. Null or repeated doc_ids are fine.
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     found = plain.withColumn("base", base_spans(F.col("text")))
     # Rows with entities, each under a number of its own, are few next to the texts; only they go on to the terms.
-    held = staged(found.filter(F.size("base") > 0).withColumn("near", _terms(F.col("text"), F.col("base"))).withColumn("row", F.monotonically_increasing_id()), "entities")
-    words = held.select("row", F.explode("near").alias("w")).select("row", "w.*")
-    context = held.select("row", F.xxhash64(F.transform("near", lambda w: w["t"])).alias("context"))
-    told = disclosures(plain.select("text"), words.join(context, "row").select("entity", "t", "context"))
-    flagged = words.join(told, ["entity", "t"]).groupBy("row").agg(F.array_sort(F.array_distinct(F.collect_list(F.struct(F.col("s"), F.lit(4).alias("kind"), F.col("e"), F.when(F.col("share") >= REMOVE, "").otherwise("<TERM>").alias("v"))))).alias("terms"))  # at most the words near one row's entities
-    ready = held.join(flagged, "row", "left").select("doc_id", "text", F.array_sort(F.concat("base", F.coalesce("terms", F.array().cast(SPAN)))).alias("spans"))
+    held = staged(found.filter(F.size("base") > 0).withColumn("entities", _entities(F.col("base"))).withColumn("row", F.monotonically_increasing_id()), "entities")
+    told = disclosures(plain.select("text"), held)
+    flagged = told.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("t", F.when(F.col("share") >= REMOVE, "").otherwise("<TERM>")))).alias("told"))  # at most the words of one row
+    places = located(F.col("text"), TERM, 4, lambda w: F.map_contains_key("told", F.lower(w)))
+    outside = F.filter(places, lambda w: ~F.exists("base", lambda x: (x["s"] < w["e"]) & (w["s"] < x["e"])))
+    terms = F.transform(outside, lambda w: w.withField("v", F.element_at("told", F.lower(w["v"]))))
+    ready = held.join(flagged, "row", "left").withColumn("terms", F.when(F.col("told").isNotNull(), terms).otherwise(F.array().cast(SPAN)))
+    ready = ready.select("doc_id", "text", F.array_sort(F.concat("base", "terms")).alias("spans"))
     rest = found.filter(F.size("base") == 0).select("doc_id", "text", F.array().cast(SPAN).alias("spans"))
     return ready.withColumn("text", _replaced(F.col("text"), F.col("spans"))).unionByName(rest).select("doc_id", "spans", "text")
 

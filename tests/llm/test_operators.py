@@ -245,6 +245,15 @@ def test_pii_terms_once(spark):
     assert out[1]["text"] == "we contact number  at <EMAIL> today" and out[100]["text"] == rest[0][1]
 
 
+def test_pii_terms_whole_text(spark):
+    far = "we contact number at noon with filler words today " * 4
+    told = [(i, f"Zanzibarov {far}z@x.org {far}zanzibarov, Bo and ZANZIBAROV") for i in (1, 2)]
+    rest = [(100 + i, f"today we contact number {i} at noon with filler words and so on") for i in range(200)]
+    out = {r["doc_id"]: r for r in pii.sanitise(spark.createDataFrame(told + rest, "doc_id long, text string")).collect()}
+    assert out[1]["text"] == out[2]["text"] == f" {far}<EMAIL> {far},  and " and out[100]["text"] == rest[0][1]
+    assert sum(x["kind"] == 4 for x in out[1]["spans"]) == 4
+
+
 def test_quality_rules(hard, docs):
     assert quality_rules.counts("a b c a b c\n\na b c a b c\nx #") == (14, 14, 1, 1, 12)
     assert quality_rules.counts("") == (0, 0, 0, 0, 0) and quality_rules.counts(" # ")[:3] == (1, 1, 1)
