@@ -4,8 +4,8 @@ A page is read into a tree of elements that leaves out what can't be article:
 scripts, forms, menus and whatever its tag, role, class or id names as
 boilerplate. Each paragraph scores for its length and commas and passes its points to its
 ancestors, less with each level; a container's points count as far as its text
-lies outside links. The best container is kept with those of its siblings that
-look like parts of the same article.
+lies outside links. The article or main around the best container is kept whole,
+with the siblings that hold text rather than links.
 """
 
 from __future__ import annotations
@@ -209,6 +209,27 @@ def _past(page: str, at: int, tag: str) -> int:
 
 # What a tag is worth as the container of an article.
 TAG_POINTS = {"article": 30, "main": 25, "section": 3, "div": 5, "td": 3, "pre": 3, "blockquote": 3, "ol": -3, "ul": -3, "dl": -3, "li": -3, "address": -3, "th": -5}
+#: Share of a part's characters within links below which it reads as text.
+LOW_LINKS = 0.25
+
+
+def _whole(best: _Node) -> _Node:
+    """The element that holds all of the article whose best container is given.
+
+    That is the outermost article around it, else the innermost main. Without these it is the container itself, or what is around it
+    as far as most of the text outside links lies outside the container; elements around it with no other text don't end its article.
+    """
+    line = list(_line(best))
+    named = [x for x in reversed(line) if x.tag == "article"] or [x for x in line if x.tag == "main"]
+    if named:
+        return named[0]
+    top, plain = best, lambda x: x.chars - x.linked
+    for x in line:
+        if plain(x) > 2 * plain(top):
+            top = x
+    while top.up is not None and top.up.up is not None and top.up.chars == top.chars:
+        top = top.up
+    return top
 
 
 def extract(page: str) -> str:
@@ -232,15 +253,14 @@ def extract(page: str) -> str:
             x.score += points / (1 if not level else 2 if level == 1 else 3 * level)
     value = lambda x: x.score * (1 - x.linked / max(1, x.chars))
     best = max(scored, key=value)  # of equals the first in page order
-    keep = {id(best)}
-    if best.up is not None:
-        need = max(10.0, 0.2 * value(best))
-        for x in best.up.kids:
-            if not isinstance(x, _Node) or not x.chars or x is best:
+    need = max(10.0, 0.2 * value(best))
+    top = _whole(best)
+    keep = {id(top)}
+    if top.up is not None:
+        for x in top.up.kids:
+            if not isinstance(x, _Node) or not x.chars or x is top:
                 continue
-            density = x.linked / x.chars
-            long = x.tag == "p" and (x.chars > 80 and density < 0.25 or x.chars <= 80 and not density and x.chars > 20)
-            if x.score and value(x) >= need or long or x.tag in ("h1", "h2") and not density:
+            if x.linked / x.chars < LOW_LINKS or x.score and value(x) >= need:
                 keep.add(id(x))
     return "\n".join(text for owner, text in blocks if any(id(x) in keep for x in _line(owner)))
 

@@ -49,6 +49,17 @@ def test_html():
     assert html_extract.extract("<article><p>" + "word " * 50_000) == ("word " * 50_000).strip()
 
 
+def test_html_sections():
+    long, short = "<p>" + "long words, in text, go, on " * 12 + "</p>", "<p>" + "short words, go, on " * 10 + "</p>"
+    parts = "<h3>Table</h3><table><tr><td>one</td></tr></table><ul><li>item</li></ul><pre>code</pre><blockquote>said</blockquote>"
+    rest = ["Table", "one", "item", "code", "said", "End."]
+    for around in ("article", "main", "div"):
+        got = html_extract.extract(f"<body><{around}><section>{long * 30}</section><section>{short * 3}</section>{parts}<section><p>End.</p></section></{around}></body>").split("\n")
+        assert len(got) == 39 and got[33:] == rest, around
+    halves = html_extract.extract(f"<body><div><div>{long * 5}</div></div><div><div>{long * 4}</div></div><div><a href='/'>elsewhere there</a></div></body>")
+    assert halves.count("\n") == 8 and "elsewhere" not in halves
+
+
 def test_html_nulls(spark):
     df = spark.createDataFrame([(1, "u", None), (None, None, "<p>a</p>")], "page_id long, url string, html string")
     assert rows(html_extract.pages(df), "page_id", "url", "text", "n_chars") == [(1, "u", "", 0), (None, None, "a", 1)]
