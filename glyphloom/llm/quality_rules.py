@@ -24,8 +24,8 @@ from glyphloom.llm.common import BROADCAST_ROWS, small_batches, staged, table
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: Share of a group that the estimate rests on, steps, rows from which a group has its own estimate.
-COVERAGE, STEPS, MIN_GROUP = 0.75, 4, 200
+#: Share of a group that the estimate rests on, steps, rows that the wider estimate counts for in a group's own.
+COVERAGE, STEPS, PRIOR = 0.75, 4, 200
 #: Squared distance beyond which a row goes: the point that a chi-square with 4 degrees of freedom exceeds with chance TAIL.
 TAIL = 1e-5
 CUT = 28.473255
@@ -91,17 +91,39 @@ def _vector(df: DataFrame) -> DataFrame:
     return df.withColumns({f"x_{k}": F.round(v * UNIT).cast("long") for k, v in made.items()})
 
 
-def _distance(est: dict) -> F.Column:
-    """Squared distance of the row from its group's estimate; est: group -> (centre, inverse scatter). One entry per group."""
+def _joined(df: DataFrame, name: str, kind: str, of: dict) -> DataFrame:
+    """df with the value of its group as a column, null where there is none. One small row per group."""
+    return df.join(F.broadcast(df.sparkSession.createDataFrame(sorted(of.items()), f"grp string, {name} {kind}")), "grp", "left")
+
+
+def _distance(df: DataFrame, est: dict) -> DataFrame:
+    """df with distance: the squared distance of the row from its group's estimate; est: group -> (centre, inverse scatter)."""
     d = len(FEATURES)
-    rows = [(g, [float(v) for v in c], [float(v) for v in np.asarray(s).ravel()]) for g, (c, s) in sorted(est.items())]
-    got = F.element_at(F.create_map(*[x for g, c, s in rows for x in (F.lit(g), F.array(*[F.lit(v) for v in c + s]))]), F.col("grp"))
+    df = _joined(df, "est", "array<double>", {g: [float(v) for v in (*c, *np.asarray(s).ravel())] for g, (c, s) in est.items()})
     diff = [(F.col(f"x_{k}") / UNIT - F.col("est")[i]) for i, k in enumerate(FEATURES)]
     total = F.lit(0.0)
     for i in range(d):
         for j in range(d):
             total = total + diff[i] * diff[j] * F.col("est")[d + i * d + j]
-    return got, total
+    return df.withColumn("distance", total).drop("est")
+
+
+def _pooled(parts: list[tuple]) -> tuple:
+    """Rows, centre and scatter of several (rows, centre, scatter) taken together."""
+    n = sum(w for w, _, _ in parts)
+    c = sum(w * c for w, c, _ in parts) / n
+    return n, c, sum(w * (s + np.outer(x - c, x - c)) for w, x, s in parts) / n
+
+
+def _shrunk(own: dict, langs: dict[str, str]) -> dict:
+    """Per group centre and scatter: its own pooled with PRIOR rows of its language's, and that with PRIOR rows of all.
+
+    own: group -> (rows, centre, scatter), of some groups at least; langs: the language of every group.
+    """
+    whole, wide = _pooled(list(own.values())), {}
+    for lang in sorted(set(langs.values())):
+        wide[lang] = _pooled([x for g, x in own.items() if langs[g] == lang] + [(PRIOR, *whole[1:])])
+    return {g: _pooled(([own[g]] if g in own else []) + [(PRIOR, *wide[lang][1:])])[1:] for g, lang in langs.items()}
 
 
 def _moments(df: DataFrame, keep: F.Column) -> dict:
@@ -116,7 +138,7 @@ def _moments(df: DataFrame, keep: F.Column) -> dict:
         n, d = r["n"], len(xs)
         c = np.array([int(r[f"s{i}"]) / n for i in range(d)]) / UNIT
         s = np.array([[int(r[f"p{min(i, j)}_{max(i, j)}"]) / n for j in range(d)] for i in range(d)]) / UNIT**2 - np.outer(c, c)
-        out[r["grp"]] = (c, s)
+        out[r["grp"]] = (n, c, s)
     return out
 
 
@@ -143,7 +165,7 @@ def _threshold(df: DataFrame) -> dict:
 
 
 def _robust_start(df: DataFrame) -> dict:
-    """Per group the coordinate-wise median and spread, read off histograms of bins of 1 / 50."""
+    """Per group its rows and the coordinate-wise median and squared spread, read off histograms of bins of 1 / 50."""
     out: dict[str, tuple] = {}
     per: dict[str, list] = {}
     for i, k in enumerate(FEATURES):
@@ -154,9 +176,9 @@ def _robust_start(df: DataFrame) -> dict:
             bs.sort()
             cum, n = np.cumsum([c for _, c in bs]), sum(c for _, c in bs)
             q = [bs[int(np.searchsorted(cum, p * n))][0] / 50 for p in (0.25, 0.5, 0.75)]
-            per.setdefault(g, []).append((q[1], max((q[2] - q[0]) / 1.35, FLOOR[i])))
+            per.setdefault(g, []).append((q[1], max((q[2] - q[0]) / 1.35, FLOOR[i]), int(n)))
     for g, x in per.items():
-        out[g] = (np.array([m for m, _ in x]), np.diag([1 / s**2 for _, s in x]))
+        out[g] = (x[0][2], np.array([m for m, _, _ in x]), np.diag([s**2 for _, s, _ in x]))
     return out
 
 
@@ -164,36 +186,26 @@ def rules(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance, row_key of every row of docs.
 
     Null or empty text: all counts 0, base_failed true. Null language or source: a group of its own.
-    A language and source with under MIN_GROUP rows shares its language's estimate, a language with
-    fewer shares that of all rows. Equal rows get equal verdicts; an empty table gives an empty result.
+    Every language and source has its own estimate, drawn towards its language's, and that towards the one of
+    all rows, the more the fewer rows it has. Equal rows get equal verdicts; an empty table gives an empty result.
     """
     stats = _vector(staged(statistics(docs), "quality"))
     pass_base = ~((F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
     stats = stats.withColumn("base_failed", ~pass_base)
     lang, pair = F.coalesce("lang", F.lit("\0")), F.concat_ws("\x01", F.coalesce("lang", F.lit("\0")), F.coalesce("source", F.lit("\0")))
-    good = stats.filter(~F.col("base_failed"))
-    sizes = good.groupBy(lang.alias("l"), pair.alias("p")).count().collect()  # one row per language and source
-    by_lang: dict[str, int] = {}
-    for r in sizes:
-        by_lang[r["l"]] = by_lang.get(r["l"], 0) + r["count"]
-    own = {r["p"] for r in sizes if r["count"] >= MIN_GROUP}
-    wide = {k for k, n in by_lang.items() if n >= MIN_GROUP}
-    group = F.when(pair.isin(sorted(own)), pair).when(lang.isin(sorted(wide)), lang).otherwise(F.lit("\x02"))
-    stats = stats.withColumn("grp", group)
+    langs = {r["p"]: r["l"] for r in stats.select(lang.alias("l"), pair.alias("p")).distinct().collect()}  # one row per language and source
+    stats = stats.withColumn("grp", pair)
     good = stats.filter(~F.col("base_failed"))
     est = _robust_start(good)
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     if not est:
         return stats.select(*columns, F.lit(False).alias("kept"), F.lit(None).cast("double").alias("distance"), "row_key")
+    est = {g: (c, np.linalg.inv(s)) for g, (c, s) in _shrunk(est, langs).items()}
     for _ in range(STEPS):
-        got, dist = _distance(est)
-        near = good.withColumn("est", got).withColumn("bin", F.floor(F.log(dist + 1e-6) * BINS_PER_E).cast("int"))
-        cut = _threshold(near)
-        limit = F.element_at(F.create_map(*[x for g, b in sorted(cut.items()) for x in (F.lit(g), F.lit(b))]), F.col("grp"))
-        est = _inverse(_moments(near, F.col("bin") <= limit))
-    est.setdefault("\x02", next(iter(est.values())))  # groups of rows that the limits have all rejected
-    got, dist = _distance(est)
-    return stats.withColumn("est", got).withColumn("distance", dist).select(*columns, (~F.col("base_failed") & F.coalesce(F.col("distance") <= CUT, F.lit(True))).alias("kept"), "distance", "row_key")
+        near = _distance(good, est).withColumn("bin", F.floor(F.log(F.col("distance") + 1e-6) * BINS_PER_E).cast("int"))
+        near = _joined(near, "limit", "int", _threshold(near))
+        est = _inverse(_shrunk(_moments(near, F.col("bin") <= F.col("limit")), langs))
+    return _distance(stats, est).select(*columns, (~F.col("base_failed") & F.coalesce(F.col("distance") <= CUT, F.lit(True))).alias("kept"), "distance", "row_key")
 
 
 def accepted(docs: DataFrame) -> DataFrame:

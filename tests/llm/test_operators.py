@@ -295,3 +295,10 @@ def test_quality_cut(spark):
     labels = spark.read.parquet(f"{whole}/labels.parquet").select("doc_id", "quality").distinct()
     got = {(r["quality"], r["kept"]): r["count"] for r in quality_rules.rules(spark.read.parquet(f"{whole}/documents.parquet")).filter("not base_failed").join(labels, "doc_id").groupBy("quality", "kept").count().collect()}
     assert got.get((0, True), 0) == 0 and got.get((0, False), 0) > 250 and got.get((1, False), 0) < 0.005 * got[1, True]
+
+
+def test_quality_small_groups():
+    own = {"a": (200, np.zeros(4), np.eye(4)), "b": (1, np.full(4, 2.0), np.zeros((4, 4)))}
+    centre = {n: quality_rules._shrunk({**own, "b": (n, *own["b"][1:])}, {"a": "l", "b": "l", "none": "m"})["b"][0][0] for n in (1, 199, 200, 201, 100_000)}
+    assert 0 < centre[1] < 0.05 and abs(centre[201] - centre[199]) < 0.02 and centre[199] < centre[200] < centre[201] and centre[100_000] > 1.99
+    assert set(quality_rules._shrunk(own, {"a": "l", "b": "l", "none": "m"})) == {"a", "b", "none"}
