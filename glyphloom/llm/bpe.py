@@ -1,34 +1,44 @@
-"""Byte-level BPE encoding and decoding in Spark's higher-order functions.
-
-A word (a match of the split pattern) is an array of byte tokens. A fold merges,
-one after the other, the adjacent pair of lowest rank, the leftmost of equals,
-until no pair has a rank, as the tiktoken library does. The rank map is a literal
-of the plan: a sparse matrix packed in two arrays, so that a look-up is two array
-reads. It maps a pair of tokens to the rank of their joined bytes.
-
-Distinct words are counted over all documents. The most frequent word of each of
-SLOTS hash slots is folded once and looked up, with the same kind of literal; all
-other words are folded where they stand. The literal's size is thus fixed, the
-result doesn't depend on it, and no text is shuffled. Decoding concatenates the
-byte pieces of the ids.
+"""Byte-level BPE encoding and decoding.
+
+A word (a match of the split pattern) is an array of byte tokens. A fold in
+Spark's higher-order functions merges, one after the other, the adjacent pair of
+lowest rank, the leftmost of equals, until no pair has a rank, as the tiktoken
+library does. The rank map is a literal of the plan: a sparse matrix packed in
+two arrays, so that a look-up is two array reads. It maps a pair of tokens to the
+rank of their joined bytes.
+
+Distinct words are counted over all documents, and the frequent ones (at most
+WORDS of them, of at most WORD_BYTES bytes each) are folded once. That table is
+broadcast; a pass over the texts looks each word up, so a text becomes the ids of
+its known stretches and the words between them, and those words alone are folded
+where they stand. Which words are in the table changes no result. No text is
+shuffled. Decoding concatenates the byte pieces of the ids.
 """
 
 from __future__ import annotations
 
 import base64
 import json
+import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphloom.llm.common import staged, table
+from glyphloom.llm.common import dropped, staged, table
 
-#: Hash slots for frequent words; times that such a word occurs at least; what stands for no rank (over all entries; short, as plans hold it often); the token that stands before and after each word.
-SLOTS, WORTH, NONE = 1 << 17, 4, 1 << 34
-EDGE = 65_535
+#: Words that the broadcast table has at most, their length at most, and times that one occurs at least: a bound of about 40 MB.
+WORDS, WORD_BYTES, WORTH = 1 << 19, 48, 4
+#: What stands for no rank; the token that stands before and after each word; counts in one octave of the histogram of counts.
+NONE, EDGE, STEPS = 1 << 17, 65_535, 32
+#: Rows that Python works on at a time.
+BATCH = 256
+#: A pair is one number: rank, first byte and left token, so that the least one is the leftmost of the lowest rank.
+RANK_AT, FIRST_AT = 44, 16
 # What \s stands for in the pattern (Unicode's White_Space); Java's \s is ASCII only.
-SPACE = r"\t\n\x0B\f\r\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+SPACE = r"\t\n\x0B\f\r\x20\x85\xA0  -     　"
 
 
 def ranks(path: str) -> dict[bytes, int]:
@@ -47,137 +57,221 @@ def pair_table(vocab: dict[bytes, int]) -> tuple[list[int], list[int]]:
     Token `left` has its row at offset[left]; entries[offset[left] + right] is left << 17 | rank if the pair has one. Rows
     are placed, the fullest first, where their entries hit free places.
     """
-    rows: dict[int, dict[int, int]] = {}
-    for token, rank in vocab.items():
-        for i in range(1, len(token)):
-            left, right = vocab.get(token[:i], -1), vocab.get(token[i:], -1)
-            if min(left, right) >= 0:
-                rows.setdefault(left, {})[right] = rank
+    made = [(vocab[token[:i]], vocab[token[i:]], rank) for token, rank in vocab.items() for i in range(1, len(token)) if token[:i] in vocab and token[i:] in vocab]
+    pairs = np.array(made, np.int64).reshape(-1, 3)
+    del made
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    lefts, begin, count = np.unique(pairs[:, 0], return_index=True, return_counts=True)
     width = EDGE + 1
-    offset, entries = np.zeros(width, np.int64), np.full(6 * width, NONE, np.int64)
-    free, start = np.ones(6 * width, bool), {}
-    for left, row in sorted(rows.items(), key=lambda x: (-len(x[1]), x[0])):
-        cols = np.array(sorted(row), np.int64)
-        at = start.get(len(row), 0)  # rows of one size go on where the last was placed
-        while True:
-            tries = np.arange(at, at + 512)
-            good = np.flatnonzero(free[tries[:, None] + cols[:8]].all(1))
-            fit = next((int(tries[g]) for g in good if free[tries[g] + cols].all()), None)
-            if fit is not None:
+    offset, entries = np.zeros(width, np.int64), np.full(8 * width, NONE << 17, np.int64)
+    free, draw, at, top = np.ones(8 * width, bool), np.random.default_rng(8), 0, 4 * width
+
+    def fit(tries: np.ndarray, cols: np.ndarray) -> int | None:
+        good = np.flatnonzero(free[tries[:, None] + cols[:8]].all(1))
+        return next((int(tries[g]) for g in good if free[tries[g] + cols].all()), None)
+
+    for k in np.lexsort((lefts, -count)):
+        cols, place = pairs[begin[k] : begin[k] + count[k], 1], None
+        if len(cols) == 1:  # any free place is one
+            place = int(np.argmax(free[cols[0] :]))
+        for _ in range(20 if place is None and len(cols) <= 16 else 0):  # short rows fall into gaps
+            if (place := fit(draw.integers(0, top - width, 256), cols)) is not None:
                 break
-            at += 512
-        offset[left] = start[len(row)] = fit
-        free[fit + cols] = False
-        entries[fit + cols] = left << 17 | np.array([row[int(c)] for c in cols], np.int64)
+        while place is None:  # long ones, and what found no gap, go on where the last was placed
+            place = fit(np.arange(at, at + 256), cols)
+            at = at + 256 if place is None else place
+        offset[lefts[k]] = place
+        free[place + cols] = False
+        entries[place + cols] = lefts[k] << 17 | pairs[begin[k] : begin[k] + count[k], 2]
     return offset.tolist(), entries[: int(offset.max()) + width].tolist()
 
 
+def _array(kind: str, values: list) -> Column:
+    """An array as a literal: the optimizer folds the parsing of its JSON once, before the plan runs."""
+    return F.from_json(F.lit(json.dumps(values, separators=(",", ":"), ensure_ascii=False)), f"array<{kind}>")
+
+
+def _let(value: Column, body) -> Column:
+    """body of value, which is made once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 class Codec:
     """Expressions that encode and decode by one vocabulary (under 65,535 tokens, every single byte among them)."""
 
-    def __init__(self, spark: SparkSession, vocab: dict[bytes, int], pattern: str) -> None:
+    def __init__(self, vocab: dict[bytes, int], pattern: str) -> None:
         if max(vocab.values()) >= EDGE or any(bytes([b]) not in vocab for b in range(256)):
             raise ValueError("ranks must be under 65,535 and hold all single bytes")
-        self.spark, self.pattern = spark, java_pattern(pattern)
+        self.pattern, self.java = pattern, java_pattern(pattern)
+        self.pieces = [b""] * (max(vocab.values()) + 1)
+        for token, rank in vocab.items():
+            self.pieces[rank] = token
         offset, entries = pair_table(vocab)
-        first = [vocab[bytes([b])] for b in range(256)]
-        by_bytes = [vocab.get(bytes([a, b]), NONE) for a in range(256) for b in range(256)]
-        pieces = [""] * (max(vocab.values()) + 1)
-        for t, r in vocab.items():
-            pieces[r] = t.decode("latin-1")
-        words = [r.to_bytes(4, "little").decode("latin-1") for r in range(len(pieces))]
-        self._columns: dict[str, Column] = {}
-        # Plans hold these arrays; their descriptions needn't.
-        spark.conf.set("spark.sql.maxPlanStringLength", "8192")
-        for name, kind, values in (("offset", "array<int>", offset), ("entries", "array<bigint>", entries), ("first", "array<int>", first), ("pairs", "array<bigint>", by_bytes), ("pieces", "array<string>", pieces), ("words", "array<string>", words)):
-            self._literal(name, kind, values)
-
-    def _literal(self, name: str, kind: str, values: list) -> None:
-        """An array as a literal: the optimizer folds the parsing of its JSON once, before the plan runs."""
-        self._columns[name] = F.from_json(F.lit(json.dumps(values, separators=(",", ":"), ensure_ascii=False)), kind)
-
-    def _table(self, name: str) -> Column:
-        return self._columns[name]
-
-    def _ranks(self, lefts: Column, rights: Column) -> Column:
-        """The ranks of the joined bytes, or numbers of 65,536 or more: an entry of another row keeps higher bits. One place in the plan, so that it holds the tables once."""
-        return F.zip_with(lefts, rights, lambda a, b: F.get(self._table("entries"), F.get(self._table("offset"), a) + b).bitwiseXOR(F.shiftleft(a.cast("bigint"), 17)))
+        self._offset, self._entries = _array("int", offset), _array("bigint", entries)
+        self._first = _array("int", [vocab[bytes([b])] for b in range(256)])
+        self._pairs = _array("bigint", [vocab.get(bytes([a, b]), NONE) for a in range(256) for b in range(256)])
 
     def fold(self, word: Column) -> Column:
         """The token ids of one non-empty word."""
         byte = F.transform(F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), ""), lambda c: F.ascii(c))
-        let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
-        wall = F.array(F.lit(EDGE))
+        high = lambda rank: F.shiftleft(rank, RANK_AT)
+        token = lambda x: x.bitwiseAND(F.lit(EDGE))
+        wall = F.array(F.lit(NONE << RANK_AT | EDGE))
 
         def begin(b: Column) -> Column:
-            ids = F.concat(wall, F.transform(b, lambda x: F.get(self._table("first"), x)), wall)
-            inner = F.transform(b, lambda x, i: F.when(i > 0, F.get(self._table("pairs"), F.get(b, i - 1) * 256 + x)).otherwise(F.lit(NONE)))
-            return F.struct(ids.alias("ids"), F.concat(inner, F.array(F.lit(NONE))).alias("ranks"))
+            def one(x: Column, i: Column) -> Column:
+                rank = F.coalesce(F.get(self._pairs, x * 256 + F.get(b, i + 1)), F.lit(NONE))
+                return high(rank).bitwiseOR(F.shiftleft(i.cast("bigint"), FIRST_AT)).bitwiseOR(F.get(self._first, x).cast("bigint"))
+
+            return F.concat(wall, F.transform(b, one), wall)
 
-        def least(s: Column) -> Column:
-            low = F.array_min(s["ranks"])
-            return F.struct(s["ids"].alias("ids"), s["ranks"].alias("ranks"), low.alias("low"), F.array_position(s["ranks"], low).cast("int").alias("at"))
+        def least(v: Column) -> Column:
+            return _let(F.array_min(v), lambda low: F.struct(v.alias("v"), low.alias("low"), F.array_position(v, low).cast("int").alias("at")))
+
+        def ranked(x: Column, right: Column) -> Column:
+            """x, a pair without its rank, with it. An entry of another row keeps higher bits: it counts as no rank."""
+            left = token(x)
+            rank = F.get(self._entries, F.get(self._offset, left.cast("int")) + right.cast("int")).bitwiseXOR(F.shiftleft(left, 17))
+            return high(F.least(rank, F.lit(NONE).cast("bigint"))).bitwiseOR(x)
 
         def merge(s: Column) -> Column:
-            low, at = s["low"].cast("int"), s["at"]
-            ids = F.concat(F.slice(s["ids"], F.lit(1), at - 1), F.array(low), F.slice(s["ids"], at + 2, F.size(s["ids"])))
-            ranked = F.concat(F.slice(s["ranks"], F.lit(1), at - 2), self._ranks(F.array(F.get(s["ids"], at - 2), low), F.array(low, F.get(s["ids"], at + 1))), F.slice(s["ranks"], at + 2, F.size(s["ranks"])))
-            return let(F.struct(ids.alias("ids"), ranked.alias("ranks")), least)
+            v, at, joined = s["v"], s["at"], F.shiftright(s["low"], RANK_AT)
+            before = F.get(v, at - 2).bitwiseAND(F.lit((1 << RANK_AT) - 1))
+            own = s["low"].bitwiseAND(F.lit((1 << RANK_AT) - (1 << FIRST_AT))).bitwiseOR(joined)
+            both = F.zip_with(F.array(before, own), F.array(joined, token(F.get(v, at + 1))), ranked)
+            return _let(F.concat(F.slice(v, F.lit(1), at - 2), both, F.slice(v, at + 2, F.size(v))), least)
 
         def whole(b: Column) -> Column:
             turns = F.sequence(F.lit(1), F.size(b))
-            return F.aggregate(turns, let(begin(b), least), lambda s, _: F.when(s["low"] < 65_536, merge(s)).otherwise(s), lambda s: F.slice(s["ids"], F.lit(2), F.size(s["ids"]) - 2))
+            return F.aggregate(turns, _let(begin(b), least), lambda s, _: F.when(s["low"] < NONE << RANK_AT, merge(s)).otherwise(s), lambda s: F.transform(F.slice(s["v"], F.lit(2), F.size(s["v"]) - 2), lambda x: token(x).cast("int")))
 
-        return let(byte, whole)
+        return _let(byte, whole)
 
     def words(self, text: Column) -> Column:
-        return F.regexp_extract_all(text, F.lit(self.pattern), F.lit(0))
-
-    def learn(self, docs: DataFrame) -> None:
-        """Folds the most frequent word of each slot, as counted over all of docs, for later look-ups. At most SLOTS words come to the driver."""
-        counts = docs.select(F.explode(self.words(F.col("text"))).alias("w")).groupBy("w").count().filter(F.col("count") >= WORTH)
-        slot = F.pmod(F.xxhash64("w"), F.lit(SLOTS)).cast("int")
-        best = counts.groupBy(slot.alias("slot")).agg(F.max(F.struct("count", "w")).alias("b"))
-        known, ids = [None] * SLOTS, [None] * SLOTS
-        folded = staged(best.select("slot", "b.w", self.fold(F.col("b.w")).alias("ids")), "bpe-words")  # all tasks at once, the tables sent once
-        for s, w, x in folded.toLocalIterator():
-            known[s], ids[s] = w, x
-        self._literal("known", "array<string>", known)
-        self._literal("known_ids", "array<array<int>>", ids)
+        return F.regexp_extract_all(text, F.lit(self.java), F.lit(0))
 
     def encode(self, text: Column) -> Column:
-        """array<int> of a text's ids."""
-        if "known" not in self._columns:
-            return F.flatten(F.transform(self.words(text), self.fold))
-        at = lambda w: F.pmod(F.xxhash64(w), F.lit(SLOTS)).cast("int")
-        return F.flatten(F.transform(self.words(text), lambda w: F.when(F.get(self._table("known"), at(w)) == w, F.get(self._table("known_ids"), at(w))).otherwise(self.fold(w))))
+        """array<int> of a text's ids, each of its words folded where it stands."""
+        return F.flatten(F.transform(self.words(text), self.fold))
 
     def decode(self, ids: Column) -> Column:
         """binary: the bytes of the ids' pieces, one after the other. Latin-1 strings stand for bytes while they are joined."""
-        return F.encode(F.array_join(F.transform(ids, lambda i: F.get(self._table("pieces"), i)), ""), "ISO-8859-1")
+        pieces = _array("string", [p.decode("latin-1") for p in self.pieces])
+        return F.encode(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), ""), "ISO-8859-1")
+
+
+def frequent(docs: DataFrame, codec: Codec) -> DataFrame:
+    """w and ids of the frequent words of docs (a column text), at most WORDS of them; in the shared folder."""
+    counts = docs.select(F.explode(codec.words(F.col("text"))).alias("w")).groupBy("w").count().filter((F.col("count") >= WORTH) & (F.octet_length("w") <= WORD_BYTES))
+    counts = staged(counts.withColumn("step", F.floor(F.log2("count") * STEPS).cast("int")), "bpe-counts")
+    # The step from which the words number at most WORDS: as many rows as the histogram has steps.
+    steps, left, least = counts.groupBy("step").count().collect(), WORDS, 1 << 30
+    for step, n in sorted(map(tuple, steps), reverse=True):
+        left -= n
+        if left < 0:
+            break
+        least = step
+    return staged(counts.filter(F.col("step") >= least).select("w", codec.fold(F.col("w")).alias("ids")), "bpe-words")
+
 
-    def packed(self, ids: Column) -> Column:
-        """binary: the ids as little-endian unsigned 32-bit integers."""
-        return F.encode(F.array_join(F.transform(ids, lambda i: F.get(self._table("words"), i)), ""), "ISO-8859-1")
+#: What this Python worker has made of the last broadcast table.
+_known: dict[str, dict[str, bytes]] = {}
 
 
-def encoded(docs: DataFrame, codec: Codec) -> DataFrame:
-    """doc_id, ids and decoded (binary) of every row of docs. Null text counts as empty: no ids, no bytes."""
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    codec.learn(plain)
-    return plain.select("doc_id", codec.encode(F.col("text")).alias("ids")).withColumn("decoded", codec.decode(F.col("ids")))
+def _table_of(sent) -> dict[str, bytes]:
+    if sent.value[0] not in _known:
+        _known.clear()
+        tag, words, ids, ends = sent.value
+        ends = np.frombuffer(ends, "<i4").tolist()
+        _known[tag] = {w: ids[4 * a : 4 * b] for w, a, b in zip(words, [0, *ends], ends, strict=False)}
+    return _known[sent.value[0]]
 
 
-def public_codec(spark: SparkSession, name: str = "byte_bpe_multi_50k.tiktoken") -> Codec:
+def encoded(docs: DataFrame, codec: Codec, *keep: str, ids: bool = True) -> DataFrame:
+    """The columns keep of every row of docs, then packed (the ids as little-endian unsigned 32-bit integers), decoded (binary) and, unless left out, ids.
+
+    Null text counts as empty: no ids, no bytes. Rows that repeat are rows of the result; an empty table gives an empty
+    result. Other columns than keep and text play no part.
+    """
+    import regex
+
+    spark = docs.sparkSession
+    if spark.conf.get("spark.sql.maxPlanStringLength").startswith("2147483632"):  # unset: plans hold the tables; their descriptions needn't
+        spark.conf.set("spark.sql.maxPlanStringLength", "8192")
+    text = F.coalesce("text", F.lit("")).alias("text")
+    known = frequent(docs.select(text), codec)
+    got = known.select("w", F.size("ids").alias("n"), "ids").toArrow()  # at most WORDS rows
+    packed = np.concatenate([x.flatten().to_numpy() for x in got["ids"].chunks] or [np.empty(0)]).astype("<u4").tobytes()
+    sent = spark.sparkContext.broadcast((uuid.uuid4().hex, got["w"].to_pylist(), packed, np.cumsum(got["n"].to_numpy()).astype("<i4").tobytes()))
+    del got
+    dropped(known)
+    pattern, pieces = codec.pattern, codec.pieces
+
+    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Parts of BATCH rows: what is made of a part is larger than the part."""
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH):
+                yield batch.slice(at, BATCH)
+
+    def known_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each text as the packed ids of its known stretches, the words between them apart."""
+        table_, split = _table_of(sent), regex.compile(pattern).findall
+        for batch in small(batches):
+            parts, rare = [], []
+            for t in batch.column(1).to_pylist():
+                words = split(t)
+                got = list(map(table_.get, words))
+                own, rest, at = [], [], 0
+                for i in [i for i, x in enumerate(got) if x is None]:
+                    own.append(b"".join(got[at:i]))
+                    rest.append(words[i])
+                    at = i + 1
+                own.append(b"".join(got[at:]))
+                parts.append(own)
+                rare.append(rest)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(parts, pa.list_(pa.binary())), pa.array(rare, pa.list_(pa.string()))], ["row", "parts", "rare"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = pa.array(pieces, pa.binary())
+        for batch in small(batches):
+            flat = []
+            for parts, folded in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                out = [parts[0]]
+                for x, p in zip(folded, parts[1:], strict=True):
+                    out += (np.array(x, "<u4").tobytes(), p)
+                flat.append(b"".join(out))
+            every = np.frombuffer(b"".join(flat), "<u4").astype(np.int32)
+            ends = np.cumsum([0, *map(len, flat)]) // 4
+            taken = own.take(pa.array(every))
+            data, at = taken.buffers()[2], np.frombuffer(taken.buffers()[1], np.int32)[: len(every) + 1]
+            data = data.to_pybytes() if data is not None else b""
+            decoded = [data[at[a] : at[b]] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            columns = [batch.column(0), pa.array(flat, pa.binary()), pa.array(decoded, pa.binary())]
+            if ids:
+                columns.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(every)))
+            yield pa.RecordBatch.from_arrays(columns, ["row", "packed", "decoded", "ids"][: len(columns)])
+
+    row = F.struct(*[F.col(c) for c in keep]).alias("row")
+    plain = docs.select(row, text)
+    kind = plain.schema["row"].dataType.simpleString()
+    parts = plain.mapInArrow(known_parts, f"row {kind}, parts array<binary>, rare array<string>")
+    parts = parts.select("row", "parts", F.transform("rare", codec.fold).alias("folded"))
+    out = parts.mapInArrow(joined, f"row {kind}, packed binary, decoded binary" + ", ids array<int>" * ids)
+    return out.select("row.*", *out.columns[1:])
+
+
+def public_codec(name: str = "byte_bpe_multi_50k.tiktoken") -> Codec:
     import public_tokenizers
 
-    return Codec(spark, ranks(public_tokenizers.path(name)), public_tokenizers.PATTERN)
+    return Codec(ranks(public_tokenizers.path(name)), public_tokenizers.PATTERN)
 
 
 def digests(docs: DataFrame, codec: Codec) -> DataFrame:
-    out = encoded(docs, codec)
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(codec.packed(F.col("ids")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row of docs."""
+    out = encoded(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), codec, "doc_id", ids=False)
+    return out.select("doc_id", F.floor(F.octet_length("packed") / 4).cast("long").alias("n_tokens"), F.sha2("packed", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(table(spark, sf_dir, "documents"), public_codec(spark))
+    """Every whole text of documents encoded and decoded. Null text: no ids, digests of no bytes."""
+    return digests(table(spark, sf_dir, "documents"), public_codec())

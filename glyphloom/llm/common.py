@@ -10,12 +10,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that a broadcast side may have at most; above it the same join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Bytes that a broadcast side may have at most, by its rows and the width that its caller states; above it the same join shuffles.
+BROADCAST_BYTES = 64 << 20
 #: A key with more than max(HOT_ROWS, total / HOT_KEYS) rows is hot, so there are at most HOT_KEYS hot keys.
 HOT_ROWS, HOT_KEYS = 2_000, 1_000
-#: Texts that one Arrow batch passes to Python at most; long texts count by their size below.
-BATCH_ROWS = 256
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -25,27 +23,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The folder that all executors see: spark.checkpoint.dir. Where that is unset, a temporary one in local mode; on a cluster an error."""
     there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not there:
-        there = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="glyphloom-")
-        shared_dir.own = there
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        there = tempfile.mkdtemp(prefix="glyphloom-")
+        spark.conf.set("spark.checkpoint.dir", there)
     return there.rstrip("/")
 
 
-def staged(df: DataFrame, name: str, *keys: str) -> DataFrame:
+def _home(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/glyphloom-{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: lineage ends, lost executors don't matter."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(*keys) if keys else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = f"{_home(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bounds an Arrow batch by rows, and by bytes where this Spark knows the setting."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+def dropped(*dfs: DataFrame) -> None:
+    """Deletes staged tables that nothing reads any more."""
+    for df in dfs:
+        _delete(df.sparkSession, df.staged_at)
+
+
+def cleared(spark: SparkSession) -> None:
+    """Deletes all tables that this application has staged. Only for when their results have been read."""
+    _delete(spark, _home(spark))
 
 
 def by_text(docs: DataFrame, one: Callable[[str], tuple], columns: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -53,7 +68,6 @@ def by_text(docs: DataFrame, one: Callable[[str], tuple], columns: str, *, key:
 
     Only key and text are read, so other columns, whatever their names, play no part.
     """
-    small_batches(docs.sparkSession)
     names = [x.strip().split(" ")[0] for x in columns.split(",")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -71,8 +85,14 @@ def lowered(text) -> F.Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 
 
-def skew_join(left: DataFrame, right: DataFrame, key: str, n: str, total: int) -> DataFrame:
-    """left, each row with the columns of right's one row of its key (null if there is none); n: rows of left that right's key has.
+def sized(df: DataFrame, row_bytes: int) -> DataFrame:
+    """df, to be broadcast if its rows, of row_bytes each at most, fit in BROADCAST_BYTES; else as it is. df must be staged."""
+    most = BROADCAST_BYTES // row_bytes
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def skew_join(left: DataFrame, right: DataFrame, key: str, n: str, total: int, how: str = "left") -> DataFrame:
+    """left, each row with the columns of right's one row of its key (null if there is none, or no row if how is inner); n: rows of left that right's key has.
 
     Keys with over max(HOT_ROWS, total / HOT_KEYS) rows number at most HOT_KEYS, as their rows sum to total at most.
     They are broadcast; the others are joined in a shuffle in which no key is large.
@@ -80,11 +100,10 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, n: str, total: int) -
     hot = right.filter(F.col(n) > max(HOT_ROWS, total // HOT_KEYS))
     cold = right.filter(F.col(n) <= max(HOT_ROWS, total // HOT_KEYS))
     first = left.join(F.broadcast(hot), key)
-    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, "left")
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, how)
     return first.unionByName(rest)
 
 
-def semi(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of docs whose key is in ids: broadcast up to BROADCAST_ROWS ids, else in a shuffle. ids must be staged."""
-    few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(ids) if few else ids, key, "left_semi")
+def rowed(docs: DataFrame, *more: F.Column) -> DataFrame:
+    """docs with each whole row in one column, row, beside what the caller adds: no name of docs can clash with those."""
+    return docs.select(F.struct("*").alias("row"), *more)

@@ -1,99 +1,122 @@
 """Exact deduplication by an extendible-hash index on shared files.
 
-Each text has a 64-bit key. The index holds one entry per key and is split into
-buckets by the key's leading bits: the directory doubles while a bucket holds
-more entries than CAPACITY, and only overfull buckets split. It is written to
-the shared folder by bucket; owner tasks then process ranges of keys. Keys with
-one row are done. The rest are compared by their bytes: rows of a key form a
-chain of distinct texts, each a group of its own, so a collision costs a link
-and never merges different texts.
-
-Only DataFrame operations are used. Groups are pre-aggregated in each task, so
-a group of any size reaches its owner as a row per task.
+Each text has a 64-bit key. The index holds one entry per key, made from
+counts that each task has summed before they are shuffled. Its directory maps a
+key's leading bits to a bucket: it doubles while a bucket holds more entries
+than CAPACITY, and only overfull buckets split. The entries are written to the
+shared folder in the order of buckets and keys.
+
+An entry with one row is settled: its row is alone. The texts of all other keys
+go to owner tasks, each of which has a range of buckets and keys. There the rows
+of a key form a chain of distinct texts, told apart byte by byte, and every
+link of the chain is a group of its own; a collision of keys costs a link and
+never merges different texts. Each task first puts its rows of one text together
+(at most PART of them), so an owner gets a large group as few rows.
+
+Only DataFrame operations are used.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from glyphloom.llm.common import lowered, semi, skew_join, staged, table
+from glyphloom.llm.common import dropped, lowered, rowed, sized, staged, table
 
-#: Entries that a bucket holds at most, unless the directory has its full depth.
-CAPACITY, MAX_DEPTH = 100_000, 12
+#: Entries that a bucket holds at most, bits of the longest prefix, rows of one text that are put together on average at most.
+CAPACITY, MAX_DEPTH, PART = 1_000_000, 20, 10_000
 
 
-def directory(histogram: dict[int, int], capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> list[int]:
-    """The bucket of each of the 2**max_depth longest prefixes, given their entries. Buckets are numbered in key order.
+def directory(histogram: dict[int, int], depth: int, capacity: int = CAPACITY) -> list[tuple[int, int, int]]:
+    """(first prefix, prefixes, bucket) of each bucket, given the entries of each prefix of depth bits. Buckets are numbered in key order.
 
     Starts from one bucket; overfull ones split by the next bit, and the directory doubles as their depth needs.
     """
-    buckets = [(0, 0)]  # depth, prefix
     sums = [histogram]
-    for _ in range(max_depth):  # entries of all prefixes, level by level
+    for _ in range(depth):  # entries of all prefixes, level by level
         up: dict[int, int] = {}
         for p, n in sums[-1].items():
             up[p >> 1] = up.get(p >> 1, 0) + n
         sums.append(up)
-    count = lambda d, p: sums[max_depth - d].get(p, 0)
-    while any(d < max_depth and count(d, p) > capacity for d, p in buckets):
-        buckets = [y for d, p in buckets for y in (((d + 1, 2 * p), (d + 1, 2 * p + 1)) if d < max_depth and count(d, p) > capacity else ((d, p),))]
-    return [i for i, (d, _) in enumerate(buckets) for _ in range(1 << (max_depth - d))]
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, the text in lower case, its key and length."""
-    low = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lowered(F.col("text")).alias("low"))
-    return low.withColumns({"key": F.xxhash64("low"), "bytes": F.octet_length("low")})
-
+    out, open_ = [], [(0, 0)]  # depth, prefix
+    while open_:
+        d, p = open_.pop()
+        if d < depth and sums[depth - d].get(p, 0) > capacity:
+            open_ += [(d + 1, 2 * p + 1), (d + 1, 2 * p)]
+        else:
+            out.append((p << (depth - d), 1 << (depth - d), len(out)))
+    return out
 
-def index(keyed: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """The rows (doc_id, key, bytes, sha) and the index entries (key, rows, top, bucket), both on shared files, and the count of rows."""
-    rows = staged(keyed.select("doc_id", "key", "bytes", F.unhex(F.sha2("low", 256)).alias("sha")), "rows")
-    entries = staged(rows.groupBy("key").agg(F.count("*").alias("rows"), F.max("doc_id").alias("top"), F.max("sha").alias("sha")), "entries")
-    prefix = F.shiftrightunsigned("key", 64 - MAX_DEPTH).cast("int")
-    histogram = {r["p"]: r["n"] for r in entries.groupBy(prefix.alias("p")).agg(F.count("*").alias("n")).collect()}  # at most 2**MAX_DEPTH rows
-    of = directory(histogram)
-    owned = entries.withColumn("bucket", F.get(F.array(*map(F.lit, of)) if len(set(of)) > 1 else F.array_repeat(F.lit(0), len(of)), prefix))
-    return rows, owned, rows.count()
 
+def index(keyed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """The index on shared files: key, rows, top (largest doc_id), sha (of a key with one row, that row's) and bucket.
 
-def groups(docs: DataFrame) -> DataFrame:
+    The directory has at most 16 prefixes for each bucket that the entries need, and 2**MAX_DEPTH in all.
+    """
+    entries = staged(keyed.groupBy("key").agg(F.count("*").alias("rows"), F.max("doc_id").alias("top"), F.max("sha").alias("sha")), "entries")
+    depth = min(MAX_DEPTH, max(1, (16 * entries.count() // capacity).bit_length()))
+    prefix = F.shiftrightunsigned("key", 64 - depth).cast("int")
+    made = directory(dict(map(tuple, entries.groupBy(prefix).count().collect())), depth, capacity)
+    spark = keyed.sparkSession
+    if len(made) == 1:
+        owned = entries.withColumn("bucket", F.lit(0))
+    else:
+        of = spark.createDataFrame(made, "first int, n int, bucket int").select(F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("prefix"), "bucket")
+        owned = entries.withColumn("prefix", prefix).join(F.broadcast(of), "prefix").drop("prefix")  # at most 2**MAX_DEPTH rows of 12 bytes
+    out = staged(owned.repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key"), "index")
+    dropped(entries)
+    return out
+
+
+def groups(docs: DataFrame, key: Callable[[Column], Column] = F.xxhash64, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row of docs.
 
     Null text counts as empty, and all empty texts are equal. Of equal texts the largest doc_id stays; null doc_ids are
     smaller than all others (keep_id is null, and kept true, for a group of only such rows). Rows that repeat a doc_id
-    with the same text have the same kept; rows that repeat it with another text belong to other groups. No row is lost.
+    with the same text have the same kept; rows that repeat it with another text belong to other groups. No row is lost;
+    an empty table gives an empty result. Only doc_id and text are read. key: any function of the text; a poor one costs time.
     """
-    keyed = _keyed(docs)
-    rows, entries, total = index(keyed)
-    shared = staged(entries.filter("rows > 1").repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key"), "index")
-    # Byte by byte, only for rows whose key others have too: grouping by the text itself tells collisions apart.
-    suspects = semi(keyed, shared.select("key"), "key")
-    chains = suspects.groupBy("key", "bytes", "low").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep"))
-    chains = staged(chains.select("key", F.unhex(F.sha2("low", 256)).alias("sha"), "n", "keep"), "chains")
-    # A row finds its link of the chain by key and digest of the same bytes.
-    link = chains.select(F.struct("key", "sha").alias("link"), "n", "keep")
-    out = skew_join(rows.select("doc_id", "sha", F.struct("key", "sha").alias("link")), link, "link", "n", total)
-    keep = F.coalesce("keep", "doc_id")
-    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), F.coalesce(F.col("doc_id") == keep, keep.isNull()).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    low = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lowered(F.col("text")).alias("low"))
+    keyed = low.withColumn("key", key(F.col("low")).cast("long"))
+    entries = index(keyed.withColumn("sha", F.unhex(F.sha2("low", 256))), capacity)
+    alone = entries.filter("rows = 1").select(F.col("top").alias("doc_id"), F.col("top").alias("keep"), F.lit(1).cast("long").alias("n"), "sha")
+    shared = staged(entries.filter("rows > 1").select("key", "bucket", "rows"), "shared")
+    # A text that has met its key elsewhere goes to its owner: once for each PART of its rows, in this task's count.
+    part = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("rows") / PART)).cast("int")
+    met = keyed.join(sized(shared, 40), "key").groupBy("bucket", "key", "low", part.alias("part"))
+    met = met.agg(F.collect_list(F.struct("doc_id")).alias("ids"), F.count("*").alias("here"), F.max("doc_id").alias("top"))
+    chain = W.partitionBy("bucket", "key").orderBy(F.octet_length("low"), "low")
+    owners = staged(met, "met").repartitionByRange("bucket", "key").withColumn("link", F.dense_rank().over(chain))
+    link = W.partitionBy("bucket", "key", "link")
+    linked = owners.select("ids", F.max("top").over(link).alias("keep"), F.sum("here").over(link).alias("n"), F.unhex(F.sha2("low", 256)).alias("sha"))
+    rest = linked.select(F.explode("ids").alias("id"), "keep", "n", "sha").select(F.col("id.doc_id").alias("doc_id"), "keep", "n", "sha")
+    out = alone.unionByName(rest)
+    return out.select("doc_id", F.col("keep").alias("keep_id"), F.col("n").cast("long").alias("group_size"), F.coalesce(F.col("doc_id") == F.col("keep"), F.col("keep").isNull()).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with their own columns; of fully repeated rows (doc_id and text) one."""
-    gone = staged(groups(docs).filter("not kept").select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha")), "gone").distinct()
-    sha = F.sha2(lowered(docs["text"]), 256)
-    few = gone.limit(1_000_001).count() <= 1_000_000
-    left = docs.join(F.broadcast(gone) if few else gone, docs["doc_id"].cast("long").eqNullSafe(F.col("gone_id")) & (sha == F.col("gone_sha")), "left_anti")
-    repeated = staged(docs.groupBy(F.col("doc_id").cast("long").alias("rep_id")).count().filter("count > 1").select("rep_id"), "repeated")
-    if not repeated.limit(1).count():
-        return left
-    again = docs["doc_id"].cast("long").eqNullSafe(F.col("rep_id"))
-    some = left.join(repeated, again, "left_semi").withColumn("dedup_sha", F.sha2(lowered(F.col("text")), 256)).dropDuplicates(["doc_id", "dedup_sha"]).drop("dedup_sha")
-    return left.join(repeated, again, "left_anti").unionByName(some)
+    """The rows of docs that stay, with their own columns, whatever their names; of rows that repeat doc_id and text one, the least by a hash of all its columns."""
+    every = staged(groups(docs), "groups")
+    gone = staged(every.filter("not kept").select(F.col("doc_id").alias("id"), F.unhex("text_sha256").alias("sha")).distinct(), "gone")
+    again = staged(every.filter("kept").groupBy(F.col("doc_id").alias("id"), F.unhex("text_sha256").alias("sha")).count().filter("count > 1").select("id", "sha"), "again")
+    rows = rowed(docs, docs["doc_id"].cast("long").alias("id"), F.unhex(F.sha2(lowered(docs["text"]), 256)).alias("sha"))
+
+    def of(left: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+        right = sized(ids, 120).select(F.col("id").alias("r_id"), F.col("sha").alias("r_sha"))
+        return left.join(right, F.col("id").eqNullSafe(F.col("r_id")) & (F.col("sha") == F.col("r_sha")), how)
+
+    left = of(rows, gone, "left_anti")
+    if not again.limit(1).count():
+        return left.select("row.*")
+    one = of(left, again, "left_semi").groupBy("id", "sha").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return of(left, again, "left_anti").select("row").unionByName(one.select("row")).select("row.*")
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents with its group; null text counts as empty."""
     return groups(table(spark, sf_dir, "documents"))
 
 

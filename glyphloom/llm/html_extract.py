@@ -16,7 +16,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphloom.llm.common import small_batches, table
+from glyphloom.llm.common import table
 
 # HTML's names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -26,6 +26,10 @@ BLOCK = frozenset("html body article section main div p h1 h2 h3 h4 h5 h6 ul ol
 CLOSES_P = BLOCK - {"br"}
 #: Start tag: open elements that it ends, up to the tags that hold them.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+#: What an open p doesn't reach out of; what an end tag doesn't reach out of, where that isn't a table's cell.
+P_HOLDS = ("td", "th", "div", "section", "article", "main", "blockquote", "li")
+HOLDS = {"li": ("ul", "ol", "menu"), "td": ("table",), "th": ("table",), "tr": ("table",), "caption": ("table",), "tbody": ("table",), "thead": ("table",), "tfoot": ("table",), "table": (), "article": (), "main": ()}
 JUNK_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
 #: Words in a class or id that name boilerplate; weak ones give way to a word that names content.
 JUNK = frozenset("""nav navbar navigation menu menus sidebar sidebars footer foot ad ads adv advert adverts advertisement advertising adsbygoogle adbox sponsor
@@ -41,13 +45,45 @@ _SPACE = re.compile(r"\s+")
 
 
 class _Node:
-    __slots__ = ("tag", "up", "score", "chars", "linked", "kids", "weight")
+    """An open or closed block element. Elements within a line are no nodes: they hold no blocks."""
+
+    __slots__ = ("tag", "up", "score", "chars", "linked", "kids", "weight", "kept")
 
     def __init__(self, tag: str, up: "_Node | None", weight: float) -> None:
         self.tag, self.up, self.weight = tag, up, weight
         self.score = 0.0
         self.chars = self.linked = 0
-        self.kids: list = []
+        self.kids: list[_Node] = []
+        self.kept = False
+
+
+class _Open:
+    """The open elements, innermost last. Finding the innermost of some tags takes no walk, however deep they are."""
+
+    def __init__(self) -> None:
+        self.nodes: list[_Node] = [_Node("html", None, 0.0)]
+        self.made = self.nodes[:]
+        self.at: dict[str, list[int]] = {"html": [0]}
+
+    def push(self, tag: str, weight: float) -> None:
+        new = _Node(tag, self.nodes[-1], weight)
+        new.up.kids.append(new)
+        self.at.setdefault(tag, []).append(len(self.nodes))
+        self.nodes.append(new)
+        self.made.append(new)
+
+    def last(self, tags) -> int:
+        """The place of the innermost open element of the tags; 0, the root's, if there is none."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def close(self, tags, stop=()) -> bool:
+        """Ends the innermost open element of the tags, with all that is open in it, unless one of stop lies between."""
+        place = self.last(tags)
+        if not place or place <= self.last(stop):
+            return False
+        while len(self.nodes) > place:
+            self.at[self.nodes.pop().tag].pop()
+        return True
 
 
 def _junk(tag: str, attrs: str) -> tuple[bool, float]:
@@ -67,14 +103,17 @@ def _junk(tag: str, attrs: str) -> tuple[bool, float]:
     return False, 25.0 if good else 0.0
 
 
-def tree(page: str) -> tuple[_Node, list[tuple[_Node, str]]]:
-    """The root and the page's blocks in order: (element that holds it, text). Boilerplate is left out of both."""
-    root = cur = _Node("html", None, 0.0)
+def tree(page: str) -> tuple[list[_Node], list[tuple[_Node, str]]]:
+    """The nodes, each after the one that holds it, and the page's blocks in order: (element that holds it, text). Boilerplate is left out of both.
+
+    Time and room are in proportion to the page, whatever its depth.
+    """
+    open_ = _Open()
     blocks: list[tuple[_Node, str]] = []
     text: list[str] = []
-    link = 0  # characters of the block within links
-    in_link = 0
+    link = in_link = 0  # characters of the block within links, open links
     skip: list[str] = []  # open elements of a part left out
+    skipped: dict[str, int] = {}
     at, end = 0, len(page)
 
     def flush() -> None:
@@ -83,29 +122,23 @@ def tree(page: str) -> tuple[_Node, list[tuple[_Node, str]]]:
             got = _SPACE.sub(" ", html.unescape("".join(text))).strip()
             text.clear()
             if got:
-                owner = cur
-                while owner.up is not None and owner.tag not in BLOCK:
-                    owner = owner.up
+                owner = open_.nodes[-1]
                 blocks.append((owner, got))
-                n, linked = len(got), min(link, len(got))
-                x = owner
-                while x is not None:
-                    x.chars += n
-                    x.linked += linked
-                    x = x.up
-                owner.kids.append(len(blocks) - 1)
+                owner.chars += len(got)
+                owner.linked += min(link, len(got))
         link = 0
 
-    def close(tags: set[str], stop: set[str]) -> None:
-        nonlocal cur
-        x = cur
-        while x.up is not None and x.tag not in stop:
-            if x.tag in tags:
-                flush()
-                cur = x.up
-                close(tags, stop)
-                return
-            x = x.up
+    def leave_out(tag: str) -> None:
+        skip.append(tag)
+        skipped[tag] = skipped.get(tag, 0) + 1
+
+    def take_up(tag: str | None = None) -> None:
+        """The part left out ends at the innermost element of this tag, or altogether."""
+        while skip:
+            x = skip.pop()
+            skipped[x] -= 1
+            if x == tag:
+                break
 
     def add(piece: str) -> None:
         nonlocal link
@@ -131,34 +164,26 @@ def tree(page: str) -> tuple[_Node, list[tuple[_Node, str]]]:
         tag, closing = m[2].lower(), bool(m[1])
         if skip:
             if closing:
-                if tag in skip:
-                    while skip.pop() != tag:
-                        pass
-                elif tag in ("body", "html") or tag in ("article", "main") and any(x.tag == tag for x in _line(cur)):
-                    skip.clear()  # an end tag that the part left out has missed
+                if skipped.get(tag):
+                    take_up(tag)
+                elif tag in ("body", "html") or tag in ("article", "main") and open_.at.get(tag):
+                    take_up()  # an end tag that the part left out has missed
             elif tag not in VOID and not m[3].endswith("/"):
                 if tag in ("article", "main") and skip[0] in ("form", "label", "fieldset"):
-                    skip.clear()
+                    take_up()
                 elif tag in RAW:
                     at = _past(page, at, tag)
                 elif tag not in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):  # their end tags may be left out
-                    skip.append(tag)
+                    leave_out(tag)
             if skip or closing:
                 continue
         if closing:
             if tag == "a":
                 in_link = max(0, in_link - 1)
-            if tag == "br" or tag == "p" and not any(x.tag == "p" for x in _line(cur)):
-                flush()
-            elif tag in BLOCK:
-                close({tag}, {"html"} if tag not in ("p", "li") else {"html", "td", "th"})
+            if tag in BLOCK:
                 flush()
-            else:
-                x = cur
-                while x.up is not None and x.tag not in BLOCK and x.tag != tag:
-                    x = x.up
-                if x.tag == tag and x.up is not None:
-                    cur = x.up
+                if tag not in VOID and tag not in ("html", "body"):
+                    open_.close(HEADINGS if tag in HEADINGS else (tag,), HOLDS.get(tag, ("td", "th", "caption")))
             continue
         if tag in RAW:
             at = _past(page, at, tag)
@@ -166,33 +191,33 @@ def tree(page: str) -> tuple[_Node, list[tuple[_Node, str]]]:
                 flush()
             continue
         junk, weight = _junk(tag, m[3])
-        if tag == "header" and not any(x.tag in ("article", "main", "section") for x in _line(cur)):
+        if tag == "header" and not open_.last(("article", "main", "section")):
             junk = True
         if junk or tag in SKIP:
             if tag == "head":  # its parts are skipped by themselves; its end tag is often missing
                 continue
             if tag in BLOCK:
                 flush()
-                close({"p"}, {"td", "th", "div", "section", "article", "main", "body"})
+                open_.close(("p",), P_HOLDS)
             if tag not in VOID:
-                skip.append(tag)
+                leave_out(tag)
             continue
         if tag in BLOCK:
             flush()
             if tag in CLOSES_P:
-                close({"p"}, {"td", "th", "div", "section", "article", "main", "body", "blockquote", "li"})
+                open_.close(("p",), P_HOLDS)
             if tag in ENDS:
-                close(*ENDS[tag])
-            if tag in ("html", "body"):
-                continue
+                while open_.close(*ENDS[tag]):
+                    pass
+            if tag not in VOID and tag not in ("html", "body"):
+                open_.push(tag, weight)
         if tag == "a":
             in_link += 1
-        if tag not in VOID and not (m[3].endswith("/") and tag not in BLOCK):
-            new = _Node(tag, cur, weight)
-            cur.kids.append(new)
-            cur = new
     flush()
-    return root, blocks
+    for x in reversed(open_.made[1:]):
+        x.up.chars += x.chars
+        x.up.linked += x.linked
+    return open_.made, blocks
 
 
 def _line(x: _Node | None):
@@ -211,6 +236,9 @@ def _past(page: str, at: int, tag: str) -> int:
 TAG_POINTS = {"article": 30, "main": 25, "section": 3, "div": 5, "td": 3, "pre": 3, "blockquote": 3, "ol": -3, "ul": -3, "dl": -3, "li": -3, "address": -3, "th": -5}
 #: Share of a part's characters within links below which it reads as text.
 LOW_LINKS = 0.25
+LEAVES = frozenset("p pre li blockquote h1 h2 h3 h4 h5 h6 td dd figcaption".split())
+#: Levels of containers that a paragraph's points reach.
+LEVELS = 8
 
 
 def _whole(best: _Node) -> _Node:
@@ -237,16 +265,16 @@ def extract(page: str) -> str:
 
     Text of any length is kept whole. Broken markup is read as far as it goes.
     """
-    root, blocks = tree(page)
+    nodes, blocks = tree(page)
     if not blocks:
         return ""
     scored: list[_Node] = []
     for owner, text in blocks:
         points = 1 + text.count(",") + min(len(text) / 100, 3)
-        if re.fullmatch("h[1-6]", owner.tag):
+        if owner.tag in HEADINGS:
             points = 0.5
-        first = owner.up if owner.tag in ("p", "pre", "li", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "td", "dd", "figcaption") and owner.up else owner
-        for level, x in enumerate(_line(first)):
+        first = owner.up if owner.tag in LEAVES and owner.up else owner
+        for level, x in zip(range(LEVELS), _line(first), strict=False):
             if not x.score:
                 x.score = 1e-9 + max(0.0, x.weight) + TAG_POINTS.get(x.tag, 0) * (x.chars > 0)
                 scored.append(x)
@@ -255,20 +283,21 @@ def extract(page: str) -> str:
     best = max(scored, key=value)  # of equals the first in page order
     need = max(10.0, 0.2 * value(best))
     top = _whole(best)
-    keep = {id(top)}
-    if top.up is not None:
-        for x in top.up.kids:
-            if not isinstance(x, _Node) or not x.chars or x is top:
-                continue
-            if x.linked / x.chars < LOW_LINKS or x.score and value(x) >= need:
-                keep.add(id(x))
-    return "\n".join(text for owner, text in blocks if any(id(x) in keep for x in _line(owner)))
+    top.kept = True
+    for x in top.up.kids if top.up is not None else ():
+        x.kept = x is top or x.chars > 0 and (x.linked / x.chars < LOW_LINKS or x.score > 0 and value(x) >= need)
+    for x in nodes[1:]:
+        x.kept = x.kept or x.up.kept
+    return "\n".join(text for owner, text in blocks if owner.kept)
 
 
 def pages(df: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of every row. Null html counts as empty and gives an empty text; url is passed on as it is."""
+    """page_id, url, text, n_chars of every row.
+
+    Null or empty html gives an empty text; url is passed on as it is, null too. Rows that repeat are rows of the result, an
+    empty table gives an empty result. Other columns play no part. Depth and length of a page have no bound.
+    """
     urls = df.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    small_batches(df.sparkSession)
 
     def run(batches):
         for pdf in batches:
@@ -281,4 +310,5 @@ def pages(df: DataFrame) -> DataFrame:
 
 
 def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every row of pages; null html counts as empty."""
     return pages(table(spark, sf_dir, "pages"))

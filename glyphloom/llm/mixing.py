@@ -5,26 +5,29 @@ its k-th block released at floor((k - 1) / w), due at ceil(k / w); of the
 released blocks, the one with the earliest deadline takes the next slot. Every
 source then stays within one block of its due share at any time.
 
-Weights are whole numbers m of a period of M slots, so the schedule repeats
-after M slots and one period, made on the driver, fixes all slots. When a
-source runs dry the others go on with their weights: a new phase with a period
-of its own. There are two phases per source at most: whole periods, then one
-period with what is left. Rows only look up their slots; none is dropped or
-repeated, and no task gathers a source.
+Weights are whole numbers m of a period of M slots, and the schedule repeats
+after M slots. In the slot after a source's last block the others go on with
+their weights: a new phase, with a schedule of its own. So the weights hold until
+a source is dry, and each phase needs the places of min(its slots, one period).
+One task works them out from the sizes of the sources, as a stream; blocks then
+look up their slots in an equi-join. None is dropped or repeated, and no task
+gathers a source's rows.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from glyphloom.llm.common import staged, table
+from glyphloom.llm.common import rowed, sized, staged, table
 
-#: Rows in a block, slots that the weights share out, rows that a bucket of ranks holds on average, sources at most.
-BLOCK, SLOTS, BUCKET, MAX_SOURCES = 8, 1000, 4_000, 10_000
+#: Rows in a block, slots that the weights share out, rows that a bucket of ranks holds on average, buckets whose counts are summed in one go.
+BLOCK, SLOTS, BUCKET, RUN = 8, 1000, 500, 1000
 NO_SOURCE = "\0"
 
 
@@ -41,9 +44,9 @@ def weights(sizes: dict[str, int], power: float = 0.5, slots: int = SLOTS) -> di
     return out
 
 
-def period(m: dict[str, int]) -> list[str]:
-    """Earliest deadline first over one period of sum(m) slots in which source s has m[s] blocks."""
-    total, out = sum(m.values()), []
+def period(m: dict[str, int]) -> Iterator[str]:
+    """Earliest deadline first over one period of sum(m) slots in which source s has m[s] blocks. Ties go by name."""
+    total = sum(m.values())
     release = lambda s, k: (k - 1) * total // m[s]
     due = lambda s, k: -(-k * total // m[s])
     waiting = [(0, s, 1) for s in sorted(m) if m[s]]
@@ -54,92 +57,111 @@ def period(m: dict[str, int]) -> list[str]:
             _, s, k = heapq.heappop(waiting)
             heapq.heappush(ready, (due(s, k), s, k))
         _, s, k = heapq.heappop(ready)
-        out.append(s)
+        yield s
         if k < m[s]:
             heapq.heappush(waiting, (release(s, k + 1), s, k + 1))
-    return out
 
 
-def phases(blocks: dict[str, int], m: dict[str, int]) -> list[dict]:
-    """first slot, periods, weights and first block of each source, phase by phase, until all blocks have slots."""
-    left, slot, out = {s: n for s, n in blocks.items() if n}, 0, []
+def phases(blocks: dict[str, int], m: dict[str, int]) -> Iterator[tuple[str, int, int, int, int, int, int, int]]:
+    """(source, phase, weight, period, first slot of the phase, first block, blocks in the phase, place in the period) of each block of a period.
+
+    A phase is over with the block that leaves its source dry. The last field lists the source's places one by one: the
+    nth of them is that of the blocks first + nth, first + nth + weight and so on.
+    """
+    left, slot, number = {s: n for s, n in blocks.items() if n}, 0, 0
     done = dict.fromkeys(left, 0)
     while left:
         own = {s: m[s] for s in left}
-        whole = min(n // own[s] for s, n in left.items())
-        if not whole:  # a source has less than a period's blocks left
-            own, whole = {s: min(n, m[s]) for s, n in left.items()}, 1
-        out.append({"slot": slot, "periods": whole, "m": own, "done": {s: done[s] for s in own}})
-        slot += whole * sum(own.values())
-        for s, k in own.items():
-            left[s] -= whole * k
-            done[s] += whole * k
+        total = sum(own.values())
+        turns = min((n - 1) // own[s] for s, n in left.items())  # whole periods after which none is dry
+        after = {s: n - turns * own[s] for s, n in left.items()}
+        places: dict[str, list[int]] = {s: [] for s in left}
+        spent = 0
+        # Places up to the slot that leaves a source dry; the whole period if it is repeated before.
+        stop = None
+        for at, s in enumerate(period(own)):
+            places[s].append(at)
+            if stop is None and len(places[s]) == after[s]:
+                stop = at + 1
+                spent = {x: len(p) for x, p in places.items()}
+                if not turns:
+                    break
+        for s, p in places.items():
+            n = turns * own[s] + spent[s]
+            for at in p:
+                yield s, number, own[s], total, slot, done[s], n, at
+            left[s] -= n
+            done[s] += n
+        slot += turns * total + stop
+        number += 1
         left = {s: n for s, n in left.items() if n}
-    return out
 
 
-def _ranked(docs: DataFrame) -> tuple[DataFrame, dict[str, int]]:
-    """docs with mix_source, mix_rank (from 0, by hash within the source) and the rows of each source.
+def _plan(sizes: DataFrame, target: dict[str, int] | None, block: int) -> DataFrame:
+    """The phases' rows for sizes (source, n); one task, which holds the sources' sizes and one period, and streams the rest."""
+
+    def run(batches):
+        got: dict[str, int] = {}
+        for pdf in batches:
+            got.update(zip(pdf["source"], map(int, pdf["n"]), strict=True))
+        m = target or weights(got)
+        rows, last = [], {}
+        for s, p, k, total, slot, lo, n, at in phases({s: -(-n // block) for s, n in got.items()}, {s: max(1, m.get(s, 1)) for s in got}):
+            nth = last[s][1] + 1 if s in last and last[s][0] == p else 0
+            last[s] = (p, nth)
+            rows.append((s, p, k, total, slot, lo, n, nth, at))
+            if len(rows) == 50_000:
+                yield pd.DataFrame(rows, columns=names)
+                rows = []
+        yield pd.DataFrame(rows, columns=names)
+
+    names = ["source", "phase", "weight", "period", "slot", "lo", "n", "nth", "at"]
+    return sizes.coalesce(1).mapInPandas(run, "source string, phase int, weight long, period long, slot long, lo long, n long, nth long, at long")
+
+
+def _ranked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """row, source, rank (from 0, by hash within the source) of every row of docs; source and n of each source.
 
-    Ranks come from counts of hash buckets, so a source of any size spreads over as many tasks as it needs.
+    Ranks come from counts of hash buckets, summed in two steps, so a source of any size spreads over as many tasks as it needs.
     """
-    keyed = docs.withColumn("mix_source", F.coalesce(F.col("source").cast("string"), F.lit(NO_SOURCE))).withColumn("mix_hash", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
-    slim = staged(keyed.select("mix_source", "mix_hash"), "mix")
-    n = slim.count()
-    few = max(1, -(-n // BUCKET))
-    bucket = F.pmod(F.shiftright("mix_hash", 16), F.lit(few)).cast("int")
-    counts = slim.groupBy("mix_source", bucket.alias("mix_bucket")).count()
-    before = staged(counts.withColumn("mix_before", F.coalesce(F.sum("count").over(W.partitionBy("mix_source").orderBy("mix_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))), "offsets")
-    sizes = {r["mix_source"]: r["n"] for r in before.groupBy("mix_source").agg(F.sum("count").alias("n")).limit(MAX_SOURCES + 1).collect()}
-    if len(sizes) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    within = F.row_number().over(W.partitionBy("mix_source", "mix_bucket").orderBy("mix_hash", "doc_id")) - 1
-    ranked = keyed.withColumn("mix_bucket", bucket).withColumn("mix_within", within)
-    out = ranked.join(before.drop("count"), ["mix_source", "mix_bucket"]).withColumn("mix_rank", F.col("mix_before") + F.col("mix_within"))
-    return out.drop("mix_bucket", "mix_within", "mix_before"), sizes
+    rows = rowed(docs, F.coalesce(F.col("source").cast("string"), F.lit(NO_SOURCE)).alias("source"), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("hash"), F.col("doc_id").cast("long").alias("id"))
+    slim = staged(rows.select("source", "hash"), "mix")
+    few = max(1, -(-slim.count() // BUCKET))
+    bucket = F.pmod(F.shiftright("hash", 16), F.lit(few)).cast("int")
+    counts = staged(slim.groupBy("source", bucket.alias("bucket")).count().withColumn("run", F.floor(F.col("bucket") / RUN).cast("int")), "mix-counts")
+    upto = lambda *keys: F.coalesce(F.sum("count").over(W.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    runs = counts.groupBy("source", "run").agg(F.sum("count").alias("count")).select("source", "run", upto("source", "run").alias("before"))
+    before = counts.select("source", "bucket", "run", upto("source", "run", "bucket").alias("within")).join(runs, ["source", "run"])
+    before = staged(before.select("source", "bucket", (F.col("before") + F.col("within")).alias("before")), "mix-offsets")
+    place = F.row_number().over(W.partitionBy("source", "bucket").orderBy("hash", "id")) - 1
+    ranked = rows.withColumn("bucket", bucket).withColumn("place", place).join(sized(before, 120), ["source", "bucket"])
+    sizes = staged(counts.groupBy("source").agg(F.sum("count").alias("n")), "mix-sizes")
+    return ranked.select("row", "source", (F.col("before") + F.col("place")).alias("rank")), sizes
 
 
 def schedule(docs: DataFrame, target: dict[str, int] | None = None, block: int = BLOCK) -> DataFrame:
-    """docs with mix_source, mix_rank, mix_block (from 0 in the source), mix_phase, mix_weight, mix_period and mix_slot.
+    """row (all columns of docs, whatever their names), source, rank, block (from 0 in the source), phase, weight, period and slot of every row.
 
-    target: slots of each source in a period; weights() of the sizes if None. Null sources are one source. Rows that are
-    equal in doc_id and text share a rank order that is arbitrary but harmless, as they can't be told apart. Other columns
-    stay as they are. An empty table gives an empty result.
+    target: slots of each source in a period; weights() of the sizes if None. Null sources are one source, \\0. Rows that are
+    equal in doc_id and text share a rank order that is arbitrary but harmless, as they can't be told apart. An empty table
+    gives an empty result. Blocks with equal deadlines take their slots by the names of their sources.
     """
-    spark = docs.sparkSession
     ranked, sizes = _ranked(docs)
-    m = target or weights(sizes)
-    blocks = {s: -(-n // block) for s, n in sizes.items()}
-    plan, offsets = [], []
-    for p, x in enumerate(phases(blocks, {s: max(1, m.get(s, 1)) for s in blocks})):
-        total, nth = sum(x["m"].values()), dict.fromkeys(x["m"], 0)
-        for at, s in enumerate(period(x["m"])):
-            offsets.append((s, p, nth[s], at))
-            nth[s] += 1
-        plan += [(s, p, x["done"][s], x["done"][s] + x["periods"] * k, k, total, x["slot"]) for s, k in x["m"].items()]
-    # Per source its phases as an array; per source, phase and place in the period the offset. Both are bounded by sources and SLOTS.
-    plan_df = spark.createDataFrame(plan, "mix_source string, p int, lo long, hi long, k long, total long, slot long")
-    plan_df = plan_df.groupBy("mix_source").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "p", "k", "total", "slot"))).alias("mix_plan"))
-    offset_df = spark.createDataFrame(offsets, "mix_source string, p int, nth int, at int").groupBy("mix_source", "p").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "at"))), lambda x: x["at"]).alias("mix_at"))
-    offset_df = offset_df.groupBy("mix_source").agg(F.array_sort(F.collect_list(F.struct("p", "mix_at"))).alias("mix_offsets"))
-    both = plan_df.join(offset_df, "mix_source")
-    nth = F.floor(F.col("mix_rank") / block).cast("long")
-    out = ranked.join(F.broadcast(both), "mix_source").withColumn("mix_block", nth)
-    out = out.withColumn("mix_now", F.get(F.filter("mix_plan", lambda x: (x["lo"] <= F.col("mix_block")) & (F.col("mix_block") < x["hi"])), F.lit(0)))
-    out = out.withColumn("mix_at", F.get(F.filter("mix_offsets", lambda x: x["p"] == F.col("mix_now.p")), F.lit(0))["mix_at"])
-    gone = F.col("mix_block") - F.col("mix_now.lo")
-    turn = F.floor(gone / F.col("mix_now.k")).cast("long")
-    slot = F.col("mix_now.slot") + turn * F.col("mix_now.total") + F.get("mix_at", (gone - turn * F.col("mix_now.k")).cast("int"))
-    out = out.withColumns({"mix_phase": F.col("mix_now.p"), "mix_weight": F.col("mix_now.k"), "mix_period": F.col("mix_now.total"), "mix_slot": slot})
-    return out.drop("mix_plan", "mix_offsets", "mix_now", "mix_at", "mix_hash")
+    plan = _plan(sizes, target, block)
+    # All blocks, a row each: a period's places, repeated through the phase.
+    turn = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1 - F.col("nth")) / F.col("weight")).cast("long")))
+    every = plan.filter("nth < n").select("*", turn.alias("turn"))
+    block_no = (F.col("lo") + F.col("turn") * F.col("weight") + F.col("nth")).alias("block")
+    every = staged(every.select("source", block_no, "phase", "weight", "period", (F.col("slot") + F.col("turn") * F.col("period") + F.col("at")).alias("slot")), "mix-blocks")
+    return ranked.withColumn("block", F.floor(F.col("rank") / block).cast("long")).join(sized(every, 160), ["source", "block"])
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """All rows of docs, with their own columns, in the order of the schedule."""
-    out = schedule(docs)
-    return out.orderBy("mix_slot", "mix_rank").select(*[out[c] for c in docs.columns])
+    return schedule(docs).orderBy("slot", "rank").select("row.*")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents with its slot; null sources are one source."""
     out = schedule(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return out.select("doc_id", "source", "mix_rank", "mix_block", "mix_phase", "mix_weight", "mix_period", "mix_slot")
+    return out.select("row.doc_id", "row.source", *[F.col(c).alias(f"mix_{c}") for c in ("rank", "block", "phase", "weight", "period", "slot")])

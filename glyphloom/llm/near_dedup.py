@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphloom.llm.common import BROADCAST_ROWS, semi, skew_join, small_batches, staged, table
+from glyphloom.llm.common import dropped, rowed, sized, skew_join, staged, table
 
 #: A pair of similarity 0.8 shares no band with a chance of (1 - 0.8**4)**28 = 4e-7.
 BANDS, ROWS = 28, 4
@@ -40,6 +40,8 @@ SET_BITS, SIGMAS = 1024, 6
 #: Rounds in which nodes try one centre each.
 ROUNDS = 4
 PERCENT = 80
+#: Bytes of the words whose hashes a task keeps; documents that are worked on at a time.
+KNOWN_BYTES, PART = 32 << 20, 64
 _SEED = np.random.default_rng(20)
 _MUL = (_SEED.integers(1, 1 << 63, SAMPLES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _ADD = _SEED.integers(0, 1 << 63, SAMPLES, dtype=np.uint64)
@@ -47,10 +49,10 @@ _K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np
 
 
 class Shingler:
-    """Shingle sets as sorted arrays of 64-bit hashes. Keeps hashes of words, a bounded number."""
+    """Shingle sets as sorted arrays of 64-bit hashes. Keeps hashes of words, up to KNOWN_BYTES."""
 
     def __init__(self, width: int = 2) -> None:
-        self.width, self.known = width, {}
+        self.width, self.known, self.held = width, {}, 0
 
     def __call__(self, text: str | None) -> np.ndarray:
         """Distinct shingles: sequences of `width` words, or all words if there are fewer; none without words. A-Z count as a-z."""
@@ -58,16 +60,18 @@ class Shingler:
         if not words:
             return np.empty(0, np.uint64)
         known = self.known
-        if len(known) > 300_000:
-            known.clear()
         for w in set(words).difference(known):
             known[w] = xxhash.xxh3_64_intdigest(w)
+            self.held += len(w) + 150
         h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         n = min(self.width, len(h))
         out = np.full(len(h) - n + 1, n, np.uint64)
         for i in range(n):
             out = (out ^ h[i : len(h) - n + 1 + i]) * _K1
             out ^= out >> np.uint64(29)
+        if self.held > KNOWN_BYTES:
+            known.clear()
+            self.held = 0
         out = out * _K2
         out ^= out >> np.uint64(32)
         return np.unique(out)
@@ -90,13 +94,18 @@ def signature(shingles: np.ndarray) -> tuple[list[int], bytes]:
     return bands.view(np.int64).tolist(), np.concatenate([sketch, whole]).tobytes()
 
 
+def _parts(batches):
+    """The batches in parts of PART rows: a set takes several times the room of its text."""
+    for pdf in batches:
+        for at in range(0, len(pdf), PART):
+            yield pdf.iloc[at : at + PART]
+
+
 def signatures(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n (size of the set), own (digest of the set), bands and sketch of every row of docs."""
-    small_batches(docs.sparkSession)
-
     def run(batches):
         shingler = Shingler(width)
-        for pdf in batches:
+        for pdf in _parts(batches):
             out = {"doc_id": pdf["doc_id"].astype("Int64"), "n": [], "own": [], "bands": [], "sketch": []}
             for text in pdf["text"]:
                 s = shingler(text if isinstance(text, str) else "")
@@ -133,23 +142,22 @@ def _alike(a: str, b: str) -> F.Column:
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """doc_id and set (the bytes of its sorted hashes), made again from the whole texts of the documents in ids."""
-    small_batches(docs.sparkSession)
+    """node and s (the bytes of its sorted hashes), made again from the whole texts of the documents in ids (staged; node)."""
 
     def sets(batches):
         shingler = Shingler(width)
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "s": [shingler(t if isinstance(t, str) else "").tobytes() for t in pdf["text"]]})
+        for pdf in _parts(batches):
+            yield pd.DataFrame({"node": pdf["node"], "s": [shingler(t if isinstance(t, str) else "").tobytes() for t in pdf["text"]]})
 
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return staged(semi(plain, ids).mapInPandas(sets, "doc_id long, s binary"), "sets")
+    plain = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
+    return plain.join(sized(ids, 40), "node", "left_semi").mapInPandas(sets, "node long, s binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b: doc_ids) whose full sets meet the threshold."""
+    """The pairs (a, b: nodes) whose full sets meet the threshold. A centre a may have any number of pairs; b has few."""
 
     def links(batches):
-        for pdf in batches:
+        for pdf in _parts(batches):
             keep = []
             for x, y in zip(pdf["sa"], pdf["sb"], strict=True):
                 p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -159,9 +167,11 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     # A centre's set goes to as many parts as its pairs need: each part has 200 pairs or so.
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / 200).cast("int").alias("parts"))
-    left = sets.join(parts, sets["doc_id"] == parts["a"]).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("s").alias("sa"))
-    spread = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
-    both = spread.join(sets.withColumnRenamed("s", "sb"), spread["b"] == sets["doc_id"]).select("a", "b", "part", "sb").join(left, ["a", "part"])
+    left = sets.withColumnRenamed("node", "a").join(parts, "a").select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("s").alias("sa"))
+    # The parts of a hot centre are found by broadcast: those with over one part.
+    many = staged(parts.filter("parts > 1"), "parts")
+    spread = pairs.join(sized(many, 60), "a", "left").withColumn("part", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    both = spread.join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b").join(left, ["a", "part"])
     return both.select("a", "b", "sa", "sb").mapInPandas(links, "a long, b long").distinct()
 
 
@@ -181,6 +191,7 @@ def components(edges: DataFrame) -> DataFrame:
         after = staged(small, "edges")
         marks = lambda df: df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).alias("h")).first()
         same = marks(after) == marks(now)
+        dropped(now)
         now = after
         if same:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
@@ -196,52 +207,53 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     signed = staged(signatures(docs, width), "signatures")
     total = signed.count()
     # Nodes: distinct sets, named by their smallest doc_id. All rows of a set have the same bands and sketch.
-    nodes = staged(signed.filter("n > 0").groupBy("own").agg(F.min("doc_id").alias("node"), F.count("*").alias("times"), F.max("n").alias("n")), "nodes")
-    firsts = signed.filter("n > 0").select("own", "doc_id", "n", "sketch", "bands").join(nodes.select("own", F.col("node").alias("doc_id")), ["own", "doc_id"])
-    firsts = firsts.dropDuplicates(["own"]).select(F.col("doc_id").alias("node"), "n", "sketch", "bands")
-    firsts = staged(firsts, "firsts")
-    slim = firsts.select("node", F.explode("bands").alias("band"))
-    crowded = staged(slim.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1").select("band"), "crowded")
-    few = crowded.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    slim = staged(slim.join(F.broadcast(crowded) if few else crowded, "band"), "slim")
-    ids = staged(slim.select(F.col("node").alias("doc_id")).distinct(), "ids")
-    facts = semi(firsts.select(F.col("node").alias("doc_id"), "n", "sketch"), ids).withColumnRenamed("doc_id", "node")
-    members = staged(slim.join(facts, "node"), "members")
-    sets = full_sets(docs, ids, width)
-    joined = staged(ids.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("component")), "components")
+    firsts = [F.first(c).alias(c) for c in ("n", "bands", "sketch")]
+    nodes = staged(signed.filter("n > 0").groupBy("own").agg(F.min("doc_id").alias("node"), F.count("*").alias("times"), *firsts), "nodes")
+    slim = nodes.filter(F.col("node").isNotNull()).select("node", F.explode("bands").alias("band"))
+    crowded = staged(slim.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1"), "crowded")
+    members = staged(skew_join(slim, crowded, "band", "members", total * BANDS, "inner"), "members")
+    ids = staged(members.select("node").distinct(), "ids")
+    facts = nodes.select("node", "n", "sketch")
+    sets = staged(full_sets(docs, ids, width), "sets")
+    joined = staged(ids.select("node", F.col("node").alias("component")), "components")
 
     def merged(links: DataFrame) -> DataFrame:
         """The components after these links between nodes."""
-        ends = links.join(joined.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a").join(joined.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b")
-        of = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()).withColumnRenamed("component", "now")
-        return staged(joined.join(of, joined["component"] == of["node"], "left").select(joined["node"], F.coalesce("now", "component").alias("component")), "components")
-
-    def side(df: DataFrame, x: str, *more: str) -> DataFrame:
-        return df.select("band", *[F.col(c).alias(f"{x}_{c}") for c in ("node", "n", "sketch", "component", *more)])
+        of = sized(joined, 60)
+        ends = links.join(of.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a").join(of.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b")
+        now = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()).withColumnRenamed("component", "now")
+        return staged(joined.join(now, joined["component"] == now["node"], "left").select(joined["node"], F.coalesce("now", "component").alias("component")), "components")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that sizes and sketches allow, and z, in how many bits the samples' sketches differ. a may be in any number of pairs, b too."""
+        for x in ("a", "b"):
+            some = pairs.groupBy(x).agg(F.count("*").alias("k")).join(facts.withColumnRenamed("node", x), x)
+            some = some.select(x, "k", F.col("n").alias(f"{x}_n"), F.col("sketch").alias(f"{x}_sketch"))
+            pairs = skew_join(pairs, some, x, "k", total, "inner").drop("k")
+        return pairs.filter(_alike("a", "b")).select("a", "b", _differ("a_sketch", "b_sketch", 0, BITS // 64).alias("z"))
 
     tried = []
     for turn in range(ROUNDS):
-        named = members.join(joined, "node")
-        centre = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("draw"), "node", "n", "sketch", "component")).alias("c")
-        centres = named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), centre).filter("lo < hi").select("band", "c.*")
-        tries = side(named, "m").join(side(centres, "c"), "band").filter((F.col("m_component") != F.col("c_component")) & _alike("c", "m"))
-        closest = F.min(F.struct(_differ("c_sketch", "m_sketch", 0, BITS // 64).alias("z"), F.col("c_node").alias("c")))
-        tries = tries.groupBy("m_node").agg(closest.alias("x")).select(F.col("x.c").alias("a"), F.col("m_node").alias("b"))
-        tries = staged(tries, "tries")
+        named = members.join(sized(joined, 60), "node")
+        draw = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("draw"), F.col("node").alias("a"), F.col("component").alias("centre"))).alias("c")
+        centres = named.groupBy("band").agg(F.count("*").alias("k"), F.min("component").alias("lo"), F.max("component").alias("hi"), draw).filter("lo < hi").select("band", "k", "c.a", "c.centre")
+        pairs = skew_join(named.select("band", "node", "component"), centres, "band", "k", total * BANDS, "inner").filter("component <> centre").select("a", F.col("node").alias("b")).distinct()
+        closest = alike(staged(pairs, "pairs")).groupBy("b").agg(F.min(F.struct("z", "a")).alias("x"))
+        tries = staged(closest.select(F.col("x.a").alias("a"), "b"), "tries")
         if not tries.limit(1).count():
             break
         tried.append(tries)
         joined = merged(staged(confirmed(tries, sets), "links"))
     # Then all that is left of buckets with several components.
-    named = staged(members.join(joined, "node"), "named")
-    sizes = named.groupBy("band", "component").count().groupBy("band").agg(F.max(F.struct("count", "component")).alias("main"), F.count("*").alias("kinds")).filter("kinds > 1").select("band", F.col("main.component").alias("main"))
-    mixed = named.join(sizes, "band")
-    outside, all_ = side(mixed.filter("component <> main"), "a", "main"), side(mixed, "b", "main")
-    rest = outside.join(all_, "band").filter((F.col("a_component") != F.col("b_component")) & ((F.col("b_component") == F.col("b_main")) | (F.col("a_node") < F.col("b_node")))).filter(_alike("a", "b"))
-    rest = staged(rest.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct(), "rest")
+    named = staged(members.join(sized(joined, 60), "node"), "named")
+    kinds = named.groupBy("band", "component").agg(F.count("*").alias("k")).groupBy("band").agg(F.max(F.struct("k", "component"))["component"].alias("main"), F.count("*").alias("kinds"), F.sum("k").alias("k")).filter("kinds > 1")
+    mixed = staged(skew_join(named.select("band", "node", "component"), kinds.select("band", "main", "k"), "band", "k", total * BANDS, "inner"), "mixed")
+    outside = mixed.filter("component <> main").select("band", F.col("node").alias("a"), F.col("component").alias("a_component"))
+    others = mixed.select("band", F.col("node").alias("b"), F.col("component").alias("b_component"), (F.col("component") == F.col("main")).alias("b_main"))
+    rest = outside.join(others, "band").filter((F.col("a_component") != F.col("b_component")) & (F.col("b_main") | (F.col("a") < F.col("b")))).select("a", "b").distinct()
     for tries in tried:  # a pair that failed fails again
         rest = rest.join(tries, ["a", "b"], "left_anti").join(tries.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    rest = staged(rest, "rest")
+    rest = staged(alike(staged(rest, "rest")).select("a", "b"), "alike")
     if rest.limit(1).count():
         joined = merged(staged(confirmed(rest, sets), "links"))
     classes = nodes.join(joined, "node", "left").select("own", "times", F.coalesce("component", "node").alias("component"))
@@ -251,13 +263,14 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, width: int = 5) -> DataFrame:
-    """The rows of docs of which each component keeps one, with their own columns."""
-    gone = staged(near_duplicates(docs, width).filter("not kept").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
-    few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"].cast("long") == F.col("gone_id"), "left_anti")
+    """The rows of docs of which each component keeps one, with their own columns, whatever their names."""
+    gone = staged(near_duplicates(docs, width).filter("not kept").select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    rows = rowed(docs, docs["doc_id"].cast("long").alias("id"))
+    return rows.join(sized(gone, 40), F.col("id") == F.col("gone"), "left_anti").select("row.*")
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents with its component, by shingles of two words; null texts have none."""
     return near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 

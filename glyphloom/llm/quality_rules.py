@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphloom.llm.common import BROADCAST_ROWS, small_batches, staged, table
+from glyphloom.llm.common import rowed, sized, staged, table
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -67,7 +67,6 @@ def statistics(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source, row_key (a hash of these and the text) and the five counts of every row; null texts count as empty."""
     keyed = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.coalesce("text", F.lit("")).alias("text"))
     keyed = keyed.withColumn("row_key", F.xxhash64("doc_id", "lang", "source", "text"))
-    small_batches(docs.sparkSession)
 
     def run(batches):
         for pdf in batches:
@@ -211,9 +210,8 @@ def rules(docs: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame) -> DataFrame:
     """The rows of docs that the rules keep, with their own columns. Rows equal in all that counts share a row_key and a verdict."""
     gone = staged(rules(docs).filter("not kept").select(F.col("doc_id").alias("gone_id"), F.col("row_key").alias("gone_key")).distinct(), "gone")
-    few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    key = F.xxhash64(docs["doc_id"], docs["lang"].cast("string"), docs["source"].cast("string"), F.coalesce(docs["text"], F.lit("")))
-    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"].cast("long").eqNullSafe(F.col("gone_id")) & (key == F.col("gone_key")), "left_anti")
+    rows = rowed(docs, docs["doc_id"].cast("long").alias("id"), F.xxhash64(docs["doc_id"], docs["lang"].cast("string"), docs["source"].cast("string"), F.coalesce(docs["text"], F.lit(""))).alias("key"))
+    return rows.join(sized(gone, 80), F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("key") == F.col("gone_key")), "left_anti").select("row.*")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

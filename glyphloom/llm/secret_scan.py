@@ -2,14 +2,15 @@
 
 Every historical version of a text is a blob, named by the SHA-256 of its
 bytes. The ledger, a Parquet folder that outlives a run, holds for each blob
-which rule versions have scanned it and what they found. A run scans only pairs
-of blob and rule version that the ledger lacks, each blob once however many rows
-have it, and joins the findings back to all rows (paths) of the blob.
+which rule versions have scanned it and what each of them found. A run scans only
+pairs of blob and rule version that the ledger lacks, each blob once however many
+rows have it, and joins the findings of the rules' present versions back to all
+rows (paths) of the blob. Findings of versions or rules that are gone stay in the
+ledger and are told no more.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 import uuid
 
@@ -17,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphloom.llm.common import BROADCAST_ROWS, shared_dir, skew_join, small_batches, staged, table
+from glyphloom.llm.common import shared_dir, sized, skew_join, staged, table
 
 # The base kinds in their order, then the method's own. (kind, version, literal that a text must hold, pattern, group, least length)
 RULES = (
@@ -33,88 +34,87 @@ RULES = (
     ("url", 1, "://", r"\b[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,200}:[^\s/@]{3,200}@", 0, 1),
 )
 BASE = ("assign", "access", "hex")
-KINDS = tuple(r[0] for r in RULES)
-LEDGER = "blob binary, done array<string>, found array<struct<kind:int,s:long,e:long>>"
+SPAN = "array<struct<rule:string,s:long,e:long>>"
+LEDGER = f"blob binary, done array<string>, found {SPAN}"
 #: Both cases of each keyword of assign; a text without any of them needs no search for it.
 _WORDS = re.compile("(?i:passw|secret|token|api_?key)", re.ASCII)
 
 
-def find(text: str, kinds: tuple[str, ...] = KINDS) -> list[tuple[int, int, int]]:
-    """(kind's place in RULES, start, end) in code points of all findings of the given kinds, by start, then kind."""
-    out = []
-    for k, (kind, _, literal, pattern, group, least) in enumerate(RULES):
-        if kind not in kinds or literal and literal not in text or kind == "assign" and not _WORDS.search(text):
-            continue
-        out += [(k, m.start(), m.end()) for m in re.compile(pattern, re.ASCII).finditer(text) if m.end(group) - m.start(group) >= least]
-    return sorted(out, key=lambda x: (x[1], x[0], x[2]))
+def named(rule: tuple) -> str:
+    """A rule with its version, as the ledger has it."""
+    return f"{rule[0]}@{rule[1]}"
 
 
-def _told(found: list[tuple[int, int, int]]) -> str:
-    return ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in found)
+def find(text: str, rules: tuple = RULES) -> list[tuple[str, int, int]]:
+    """(rule and version, start, end) in code points of all findings of the rules, by start, then order of the rules, then end."""
+    out = []
+    for k, rule in enumerate(rules):
+        kind, _, literal, pattern, group, least = rule
+        if literal and literal not in text or kind == "assign" and not _WORDS.search(text):
+            continue
+        out += [(m.start(), k, m.end()) for m in re.compile(pattern, re.ASCII).finditer(text) if m.end(group) - m.start(group) >= least]
+    return [(named(rules[k]), s, e) for s, k, e in sorted(out)]
 
 
-def scan(docs: DataFrame, ledger: str) -> DataFrame:
-    """doc_id, blob (the digest) and found (structs of kind, s, e) of every row of docs; adds what it scanned to the ledger.
+def scan(docs: DataFrame, ledger: str, rules: tuple = RULES) -> DataFrame:
+    """doc_id, blob (the digest) and found (structs of rule with version, s, e) of every row of docs; adds what it scanned to the ledger.
 
-    Null text counts as empty; so does no finding: found is then an empty array. Rows with a null or
-    repeated doc_id are scanned and returned like any other. An empty table leaves the ledger as it was.
+    Null text counts as empty; without findings, found is an empty array. Rows with a null or repeated doc_id are scanned and
+    returned like any other, repeated rows as often as they come. An empty table leaves the ledger as it was. Two rules can
+    find the same place; both findings stand. Only doc_id and text are read. The length of a text has no bound.
     """
     spark = docs.sparkSession
     spark.createDataFrame([], LEDGER).write.mode("append").parquet(ledger)
     known = spark.read.schema(LEDGER).parquet(ledger)
-    now = [f"{k}@{v}" for k, v, *_ in RULES]
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("blob", F.unhex(F.sha2("text", 256)))
-    paths = staged(named.select("doc_id", "blob"), "paths")
-    blobs = staged(paths.groupBy("blob").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n")), "blobs")
-    seen = known.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("done"))).alias("seen"))
-    todo = F.array_except(F.array(*map(F.lit, now)), F.coalesce("seen", F.array().cast("array<string>")))
-    work = blobs.join(seen, "blob", "left").select("blob", "owner", "n", todo.alias("todo"))
+    by_name = {named(r): r for r in rules}
+    now = F.array(*map(F.lit, by_name))
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("blob", F.unhex(F.sha2("text", 256)))
+    paths = staged(plain.select("doc_id", "blob"), "paths")
+    total = paths.count()
+    blobs = paths.groupBy("blob").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n"))
+    # The ledger's rows of the blobs at hand, which are one for each run that scanned them.
+    seen = known.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_set("done"))).alias("seen"))
+    todo = F.array_except(now, F.coalesce("seen", F.array().cast("array<string>")))
+    blobs = staged(blobs.join(seen, "blob", "left").select("blob", "owner", "n", todo.alias("todo")), "blobs")
     # A row needs no scan if its blob has another owner or has been scanned by all rules. The scan of the rest is a
     # narrow pass over the texts: the rows to leave out are few, or else they come by a shuffle.
-    settled = work.filter(F.size("todo") == 0)
-    skip = staged(paths.join(blobs.filter("n > 1").select("blob", "owner"), "blob").filter("doc_id <> owner").select("doc_id", "blob").unionByName(paths.join(settled.select("blob"), "blob").select("doc_id", "blob")).distinct().select(F.col("doc_id").alias("skip_id"), F.col("blob").alias("skip_blob")), "skip")
-    few = skip.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    some = blobs.filter((F.col("n") > 1) | (F.size("todo") == 0)).select("blob", "owner", "n", (F.size("todo") == 0).alias("settled"))
+    skip = skew_join(paths, some, "blob", "n", total, "inner").filter(F.col("settled") | (F.col("doc_id") != F.col("owner")))
+    skip = staged(skip.select(F.col("doc_id").alias("skip_id"), F.col("blob").alias("skip_blob")).distinct(), "skip")
     same = (F.col("blob") == F.col("skip_blob")) & F.col("doc_id").eqNullSafe(F.col("skip_id"))
-    fresh = named.join(F.broadcast(skip) if few else skip, same, "left_anti").select("blob", "text")
-    partly = staged(work.filter((F.size("todo") > 0) & (F.size("todo") < len(now))).select("blob", "todo"), "partly")  # rules that are newer than the blob's last scan
+    fresh = plain.join(sized(skip, 120), same, "left_anti").select("blob", "text")
+    partly = staged(blobs.filter((F.size("todo") > 0) & (F.size("todo") < len(rules))).select("blob", "todo"), "partly")  # rules that are newer than the blob's last scan
     if partly.limit(1).count():
-        fresh = fresh.join(partly, "blob", "left").withColumn("todo", F.coalesce("todo", F.array(*map(F.lit, now))))
+        fresh = fresh.join(sized(partly, 120 + 24 * len(rules)), "blob", "left").withColumn("todo", F.coalesce("todo", now))
     else:
-        fresh = fresh.withColumn("todo", F.array(*map(F.lit, now)))
-    small_batches(spark)
+        fresh = fresh.withColumn("todo", now)
 
     def run(batches):
         for pdf in batches:
-            found = [[{"kind": k, "s": s, "e": e} for k, s, e in find(t, tuple(x.split("@")[0] for x in todo))] for t, todo in zip(pdf["text"], pdf["todo"], strict=True)]
+            found = [[{"rule": k, "s": s, "e": e} for k, s, e in find(t, tuple(by_name[x] for x in todo))] for t, todo in zip(pdf["text"], pdf["todo"], strict=True)]
             yield pd.DataFrame({"blob": pdf["blob"], "done": pdf["todo"], "found": found})
 
     fresh.mapInPandas(run, LEDGER).write.mode("append").parquet(ledger)
     # One row per blob, whichever runs scanned it. A blob scanned twice (null doc_id) repeats its findings: distinct.
-    hits = spark.read.schema(LEDGER).parquet(ledger).filter(F.size("found") > 0).groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("found")))).alias("found"))
+    told = spark.read.schema(LEDGER).parquet(ledger).select("blob", F.filter("found", lambda x: x["rule"].isin(*by_name)).alias("found")).filter(F.size("found") > 0)
+    hits = told.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_set("found"))).alias("found"))
     hits = staged(hits.join(blobs.select("blob", "n"), "blob"), "hits")
-    total = paths.count()
-    return skew_join(paths, hits, "blob", "n", total).select("doc_id", "blob", F.coalesce("found", F.array().cast("array<struct<kind:int,s:long,e:long>>")).alias("found"))
-
-
-def _of_kind(i: int):
-    return lambda x: x["kind"] == i
+    return skew_join(paths, hits, "blob", "n", total).select("doc_id", "blob", F.coalesce("found", F.array().cast(SPAN)).alias("found"))
 
 
-def digest(found: DataFrame) -> DataFrame:
+def digest(found: DataFrame, rules: tuple = RULES) -> DataFrame:
     """The columns of the contract from those of scan()."""
-    f = F.array_sort(F.transform("found", lambda x: F.struct(x["s"].alias("s"), x["kind"].alias("kind"), x["e"].alias("e"))))
-    names = F.array(*map(F.lit, KINDS))
-    told = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["s"].cast("string"), x["e"].cast("string"))), ",")
-    base = F.filter(f, lambda x: x["kind"] < len(BASE))
-    return found.select("doc_id", *[F.size(F.filter(f, _of_kind(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(BASE)], F.sha2(told(base), 256).alias("base_sha256"), told(f).alias("spans"), F.lower(F.hex("blob")).alias("blob"))
-
-
-def brute(text: str | None) -> tuple:
-    """One text's row without Spark or ledger, for tests."""
-    found = find(text or "")
-    base = [x for x in found if KINDS[x[0]] in BASE]
-    return (*[sum(KINDS[x[0]] == k for x in base) for k in BASE], hashlib.sha256(_told(base).encode()).hexdigest(), _told(found))
+    kinds = [r[0] for r in rules]
+    kind = lambda x: F.substring_index(x["rule"], "@", 1)
+    place = lambda x: F.array_position(F.array(*map(F.lit, kinds)), kind(x))
+    f = F.array_sort(F.transform("found", lambda x: F.struct(x["s"].alias("s"), place(x).alias("k"), x["e"].alias("e"), kind(x).alias("kind"))))
+    out = found.select("doc_id", "blob", f.alias("f"))
+    told = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", x["kind"], x["s"].cast("string"), x["e"].cast("string"))), ",")
+    base = F.filter("f", lambda x: x["kind"].isin(*BASE))
+    of = lambda k: F.size(F.filter("f", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
+    return out.select("doc_id", *map(of, BASE), F.sha2(told(base), 256).alias("base_sha256"), told(F.col("f")).alias("spans"), F.lower(F.hex("blob")).alias("blob"))
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents with its findings, against a ledger that is empty at first; null text counts as empty."""
     return digest(scan(table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"))
