@@ -27,17 +27,20 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with mix_slot and mix_rank, by which the schedule interleaves their sources: a table read again has no order."""
-    return mixing.schedule(docs).select(*docs.columns, "mix_slot", "mix_rank")
+    """All documents with mix_slot and mix_rank, by which the schedule interleaves their sources: a table read again has no order.
+
+    Columns of these names that documents has already give way.
+    """
+    out = mixing.schedule(docs.drop("mix_slot", "mix_rank"))
+    return out.select("row.*", F.col("slot").alias("mix_slot"), F.col("rank").alias("mix_rank"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, mix_slot, mix_rank, ids, n_tokens and the digest of the decoded bytes, which is that of the text, in the order of the schedule."""
-    codec = bpe.public_codec(spark)
-    codec.learn(docs.select(F.coalesce("text", F.lit("")).alias("text")))
     # Sorted before the encoding, which a sort after it would do twice.
-    out = docs.orderBy("mix_slot", "mix_rank").select(F.col("doc_id").cast("long").alias("doc_id"), "source", "mix_slot", "mix_rank", codec.encode(F.coalesce("text", F.lit(""))).alias("ids"))
-    return out.select("doc_id", "source", "mix_slot", "mix_rank", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(codec.decode(F.col("ids")), 256).alias("decoded_sha256"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "mix_slot", "mix_rank", "text").orderBy("mix_slot", "mix_rank")
+    out = bpe.encoded(own, bpe.public_codec(), "doc_id", "source", "mix_slot", "mix_rank")
+    return out.select("doc_id", "source", "mix_slot", "mix_rank", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [("quality rules", quality), ("exact dedup", exact), ("near dedup", near), ("mixing", mix), ("byte-level BPE", encode)]
