@@ -12,7 +12,8 @@ WORDS of them, of at most WORD_BYTES bytes each) are folded once. That table is
 broadcast; a pass over the texts looks each word up, so a text becomes the ids of
 its known stretches and the words between them, and those words alone are folded
 where they stand. Which words are in the table changes no result. No text is
-shuffled. Decoding concatenates the byte pieces of the ids.
+shuffled. Decoding concatenates the byte pieces of the ids, of known stretches and
+of folded words alike.
 """
 
 from __future__ import annotations
@@ -24,17 +25,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphloom.llm.common import dropped, staged, table
+from glyphloom.llm.common import small_batches, table
 
-#: Words that the broadcast table has at most, their length at most, and times that one occurs at least: a bound of about 40 MB.
-WORDS, WORD_BYTES, WORTH = 1 << 19, 48, 4
+#: Words that the broadcast table has at most, their length at most, and times that one occurs at least: a bound of about 200 MB in a Python worker.
+WORDS, WORD_BYTES, WORTH = 1 << 20, 48, 4
 #: What stands for no rank; the token that stands before and after each word; counts in one octave of the histogram of counts.
 NONE, EDGE, STEPS = 1 << 17, 65_535, 32
 #: Rows that Python works on at a time.
-BATCH = 256
+PART = 128
 #: A pair is one number: rank, first byte and left token, so that the least one is the leftmost of the lowest rank.
 RANK_AT, FIRST_AT = 44, 16
 # What \s stands for in the pattern (Unicode's White_Space); Java's \s is ASCII only.
@@ -92,8 +94,8 @@ def _array(kind: str, values: list) -> Column:
 
 
 def _let(value: Column, body) -> Column:
-    """body of value, which is made once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    """body of value, which is made once: the end of an aggregate over nothing. Its type is that of value, so no type is worked out anew for each word."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda a, _: a, body)
 
 
 class Codec:
@@ -108,6 +110,7 @@ class Codec:
             self.pieces[rank] = token
         offset, entries = pair_table(vocab)
         self._offset, self._entries = _array("int", offset), _array("bigint", entries)
+        self._pieces = _array("string", [p.decode("latin-1") for p in self.pieces])
         self._first = _array("int", [vocab[bytes([b])] for b in range(256)])
         self._pairs = _array("bigint", [vocab.get(bytes([a, b]), NONE) for a in range(256) for b in range(256)])
 
@@ -125,25 +128,27 @@ class Codec:
 
             return F.concat(wall, F.transform(b, one), wall)
 
-        def least(v: Column) -> Column:
-            return _let(F.array_min(v), lambda low: F.struct(v.alias("v"), low.alias("low"), F.array_position(v, low).cast("int").alias("at")))
-
         def ranked(x: Column, right: Column) -> Column:
             """x, a pair without its rank, with it. An entry of another row keeps higher bits: it counts as no rank."""
             left = token(x)
             rank = F.get(self._entries, F.get(self._offset, left.cast("int")) + right.cast("int")).bitwiseXOR(F.shiftleft(left, 17))
             return high(F.least(rank, F.lit(NONE).cast("bigint"))).bitwiseOR(x)
 
-        def merge(s: Column) -> Column:
-            v, at, joined = s["v"], s["at"], F.shiftright(s["low"], RANK_AT)
-            before = F.get(v, at - 2).bitwiseAND(F.lit((1 << RANK_AT) - 1))
-            own = s["low"].bitwiseAND(F.lit((1 << RANK_AT) - (1 << FIRST_AT))).bitwiseOR(joined)
-            both = F.zip_with(F.array(before, own), F.array(joined, token(F.get(v, at + 1))), ranked)
-            return _let(F.concat(F.slice(v, F.lit(1), at - 2), both, F.slice(v, at + 2, F.size(v))), least)
+        def merge(v: Column, low: Column, at: Column) -> Column:
+            """v after the merge of its least pair, low, at this place (from 1). All pairs differ, as they hold their first byte."""
+            left, joined = F.get(v, at - 2), F.shiftright(low, RANK_AT)
+            bare = F.array(left.bitwiseAND(F.lit((1 << RANK_AT) - 1)), low.bitwiseAND(F.lit((1 << RANK_AT) - (1 << FIRST_AT))).bitwiseOR(joined))
+            both = F.zip_with(bare, F.array(joined, token(F.get(v, at + 1))), ranked)
+            # Two passes by element cost less than slices that are concatenated.
+            put = lambda new: F.transform(v, lambda x: F.when(x == low, F.get(new, F.lit(1))).when(x == left, F.get(new, F.lit(0))).otherwise(x))
+            return F.array_remove(_let(both, put), F.get(v, at))
+
+        def turn(v: Column, _: Column) -> Column:
+            place = lambda low: F.when(low < NONE << RANK_AT, _let(F.array_position(v, low).cast("int"), lambda at: merge(v, low, at))).otherwise(v)
+            return _let(F.array_min(v), place)
 
         def whole(b: Column) -> Column:
-            turns = F.sequence(F.lit(1), F.size(b))
-            return F.aggregate(turns, _let(begin(b), least), lambda s, _: F.when(s["low"] < NONE << RANK_AT, merge(s)).otherwise(s), lambda s: F.transform(F.slice(s["v"], F.lit(2), F.size(s["v"]) - 2), lambda x: token(x).cast("int")))
+            return F.aggregate(F.sequence(F.lit(1), F.size(b)), begin(b), turn, lambda v: F.transform(F.slice(v, F.lit(2), F.size(v) - 2), lambda x: token(x).cast("int")))
 
         return _let(byte, whole)
 
@@ -156,22 +161,28 @@ class Codec:
 
     def decode(self, ids: Column) -> Column:
         """binary: the bytes of the ids' pieces, one after the other. Latin-1 strings stand for bytes while they are joined."""
-        pieces = _array("string", [p.decode("latin-1") for p in self.pieces])
-        return F.encode(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), ""), "ISO-8859-1")
+        return F.encode(F.array_join(F.transform(ids, lambda i: F.get(self._pieces, i)), ""), "ISO-8859-1")
 
+    def pack(self, ids: Column) -> Column:
+        """binary: the ids as little-endian unsigned 32-bit integers; their upper half is 0."""
+        return F.unhex(F.array_join(F.transform(ids, lambda i: F.concat(F.lpad(F.hex(i.bitwiseAND(F.lit(255)).cast("bigint")), 2, "0"), F.lpad(F.hex(F.shiftright(i, 8).cast("bigint")), 2, "0"), F.lit("0000"))), ""))
 
-def frequent(docs: DataFrame, codec: Codec) -> DataFrame:
-    """w and ids of the frequent words of docs (a column text), at most WORDS of them; in the shared folder."""
+
+def frequent(docs: DataFrame, codec: Codec) -> pa.Table:
+    """w and ids of the frequent words of docs (a column text), at most WORDS of them."""
     counts = docs.select(F.explode(codec.words(F.col("text"))).alias("w")).groupBy("w").count().filter((F.col("count") >= WORTH) & (F.octet_length("w") <= WORD_BYTES))
-    counts = staged(counts.withColumn("step", F.floor(F.log2("count") * STEPS).cast("int")), "bpe-counts")
+    # Read twice; a lost part is counted again.
+    counts = counts.select("w", F.floor(F.log2("count") * STEPS).cast("int").alias("step")).persist(StorageLevel.DISK_ONLY)
     # The step from which the words number at most WORDS: as many rows as the histogram has steps.
-    steps, left, least = counts.groupBy("step").count().collect(), WORDS, 1 << 30
-    for step, n in sorted(map(tuple, steps), reverse=True):
+    left, least = WORDS, 1 << 30
+    for step, n in sorted(map(tuple, counts.groupBy("step").count().collect()), reverse=True):
         left -= n
         if left < 0:
             break
         least = step
-    return staged(counts.filter(F.col("step") >= least).select("w", codec.fold(F.col("w")).alias("ids")), "bpe-words")
+    out = counts.filter(F.col("step") >= least).select("w", codec.fold(F.col("w")).alias("ids")).toArrow()
+    counts.unpersist()
+    return out
 
 
 #: What this Python worker has made of the last broadcast table.
@@ -179,85 +190,73 @@ _known: dict[str, dict[str, bytes]] = {}
 
 
 def _table_of(sent) -> dict[str, bytes]:
-    if sent.value[0] not in _known:
+    tag, stream = sent.value
+    if tag not in _known:
         _known.clear()
-        tag, words, ids, ends = sent.value
-        ends = np.frombuffer(ends, "<i4").tolist()
-        _known[tag] = {w: ids[4 * a : 4 * b] for w, a, b in zip(words, [0, *ends], ends, strict=False)}
-    return _known[sent.value[0]]
+        own = _known[tag] = {}
+        for batch in pa.ipc.open_stream(stream):
+            ids = batch.column(1)
+            packed, ends = ids.flatten().to_numpy().astype("<u4").tobytes(), (ids.offsets.to_numpy() - ids.offsets[0].as_py()) * 4
+            own.update((w, packed[a:b]) for w, a, b in zip(batch.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True))
+    return _known[tag]
 
 
 def encoded(docs: DataFrame, codec: Codec, *keep: str, ids: bool = True) -> DataFrame:
-    """The columns keep of every row of docs, then packed (the ids as little-endian unsigned 32-bit integers), decoded (binary) and, unless left out, ids.
+    """The columns keep of every row of docs, then ids (array<int>; or packed, the ids as little-endian unsigned 32-bit integers) and decoded (binary).
 
     Null text counts as empty: no ids, no bytes. Rows that repeat are rows of the result; an empty table gives an empty
-    result. Other columns than keep and text play no part.
+    result. Other columns than keep and text play no part. A text's length has no bound; a word is folded in time that grows
+    with the square of its length.
     """
     import regex
 
     spark = docs.sparkSession
+    small_batches(spark)
     if spark.conf.get("spark.sql.maxPlanStringLength").startswith("2147483632"):  # unset: plans hold the tables; their descriptions needn't
         spark.conf.set("spark.sql.maxPlanStringLength", "8192")
     text = F.coalesce("text", F.lit("")).alias("text")
-    known = frequent(docs.select(text), codec)
-    got = known.select("w", F.size("ids").alias("n"), "ids").toArrow()  # at most WORDS rows
-    packed = np.concatenate([x.flatten().to_numpy() for x in got["ids"].chunks] or [np.empty(0)]).astype("<u4").tobytes()
-    sent = spark.sparkContext.broadcast((uuid.uuid4().hex, got["w"].to_pylist(), packed, np.cumsum(got["n"].to_numpy()).astype("<i4").tobytes()))
-    del got
-    dropped(known)
+    known, stream = frequent(docs.select(text), codec), pa.BufferOutputStream()
+    with pa.ipc.new_stream(stream, known.schema) as out:
+        out.write_table(known, 50_000)
+    del known
+    sent = spark.sparkContext.broadcast((uuid.uuid4().hex, stream.getvalue().to_pybytes()))
+    del stream
     pattern, pieces = codec.pattern, codec.pieces
 
-    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Parts of BATCH rows: what is made of a part is larger than the part."""
-        for batch in batches:
-            for at in range(0, batch.num_rows, BATCH):
-                yield batch.slice(at, BATCH)
-
-    def known_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each text as the packed ids of its known stretches, the words between them apart."""
-        table_, split = _table_of(sent), regex.compile(pattern).findall
-        for batch in small(batches):
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each text as its known stretches, with their ids and what these decode to, and the words between them."""
+        table_, split, own = _table_of(sent), regex.compile(pattern).findall, pa.array(pieces, pa.binary())
+        for batch in (b.slice(at, PART) for b in batches for at in range(0, b.num_rows, PART)):
             parts, rare = [], []
+            ends = [0]
             for t in batch.column(1).to_pylist():
                 words = split(t)
-                got = list(map(table_.get, words))
-                own, rest, at = [], [], 0
-                for i in [i for i, x in enumerate(got) if x is None]:
-                    own.append(b"".join(got[at:i]))
-                    rest.append(words[i])
-                    at = i + 1
-                own.append(b"".join(got[at:]))
-                parts.append(own)
-                rare.append(rest)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(parts, pa.list_(pa.binary())), pa.array(rare, pa.list_(pa.string()))], ["row", "parts", "rare"])
-
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = pa.array(pieces, pa.binary())
-        for batch in small(batches):
-            flat = []
-            for parts, folded in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                out = [parts[0]]
-                for x, p in zip(folded, parts[1:], strict=True):
-                    out += (np.array(x, "<u4").tobytes(), p)
-                flat.append(b"".join(out))
-            every = np.frombuffer(b"".join(flat), "<u4").astype(np.int32)
-            ends = np.cumsum([0, *map(len, flat)]) // 4
+                found = list(map(table_.get, words))
+                gaps = [i for i, x in enumerate(found) if x is None]
+                parts += [b"".join(found[a + 1 : b]) for a, b in zip([-1, *gaps], [*gaps, len(found)], strict=True)]
+                rare.append([words[i] for i in gaps])
+                ends.append(len(parts))
+            every = np.frombuffer(b"".join(parts), "<u4").astype(np.int32)
+            at = np.cumsum([0, *map(len, parts)]).astype(np.int32) // 4
             taken = own.take(pa.array(every))
-            data, at = taken.buffers()[2], np.frombuffer(taken.buffers()[1], np.int32)[: len(every) + 1]
-            data = data.to_pybytes() if data is not None else b""
-            decoded = [data[at[a] : at[b]] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            columns = [batch.column(0), pa.array(flat, pa.binary()), pa.array(decoded, pa.binary())]
-            if ids:
-                columns.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(every)))
-            yield pa.RecordBatch.from_arrays(columns, ["row", "packed", "decoded", "ids"][: len(columns)])
-
-    row = F.struct(*[F.col(c) for c in keep]).alias("row")
-    plain = docs.select(row, text)
+            starts = np.frombuffer(taken.buffers()[1], np.int32)[: len(every) + 1]
+            decoded = pa.Array.from_buffers(pa.binary(), len(parts), [None, pa.py_buffer(starts[at].tobytes()), taken.buffers()[2] or pa.py_buffer(b"")])
+            listed = lambda values: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+            told = pa.ListArray.from_arrays(pa.array(at), pa.array(every)) if ids else pa.array(parts, pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), listed(told), listed(decoded), pa.array(rare, pa.list_(pa.string()))], ["row", "told", "decoded", "rare"])
+
+    plain = docs.select(F.struct(*[F.col(c) for c in keep]).alias("row"), text)
     kind = plain.schema["row"].dataType.simpleString()
-    parts = plain.mapInArrow(known_parts, f"row {kind}, parts array<binary>, rare array<string>")
-    parts = parts.select("row", "parts", F.transform("rare", codec.fold).alias("folded"))
-    out = parts.mapInArrow(joined, f"row {kind}, packed binary, decoded binary" + ", ids array<int>" * ids)
-    return out.select("row.*", *out.columns[1:])
+    out = plain.mapInArrow(stretches, f"row {kind}, told {'array<array<int>>' if ids else 'array<binary>'}, decoded array<binary>, rare array<string>")
+    out = out.select("row", "told", "decoded", F.transform("rare", codec.fold).alias("folded"))
+    between = lambda a, made, empty: F.zip_with(a, made, lambda x, y: F.concat(x, F.coalesce(y, empty)))
+    told = F.flatten(between("told", "folded", F.array().cast("array<int>"))) if ids else _joined(between("told", F.transform("folded", codec.pack), F.lit(b"")))
+    return out.select("row.*", told.alias("ids" if ids else "packed"), _joined(between("decoded", F.transform("folded", codec.decode), F.lit(b""))).alias("decoded"))
+
+
+def _joined(parts: Column) -> Column:
+    """The binaries, one after the other. Latin-1 strings stand for bytes while they are joined."""
+    return F.encode(F.array_join(F.transform(parts, lambda x: F.decode(x, "ISO-8859-1")), ""), "ISO-8859-1")
 
 
 def public_codec(name: str = "byte_bpe_multi_50k.tiktoken") -> Codec:

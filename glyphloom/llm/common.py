@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Bytes that a broadcast side may have at most, by its rows and the width that its caller states; above it the same join shuffles.
 BROADCAST_BYTES = 64 << 20
+#: Bytes of an Arrow batch; tasks hold a few of them beside what they make of one.
+BATCH_BYTES, BATCH_SETTING = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 #: A key with more than max(HOT_ROWS, total / HOT_KEYS) rows is hot, so there are at most HOT_KEYS hot keys.
 HOT_ROWS, HOT_KEYS = 2_000, 1_000
 
@@ -63,11 +65,18 @@ def cleared(spark: SparkSession) -> None:
     _delete(spark, _home(spark))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what goes to Python at a time to BATCH_BYTES, for the rest of the session, where nobody has set it: plans are made after operators return."""
+    if spark.conf.get(BATCH_SETTING).rstrip("b") == str(64 << 20):  # Spark's own value
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
 def by_text(docs: DataFrame, one: Callable[[str], tuple], columns: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key and what `one` makes of each whole text (null counts as empty). columns: DDL of what it makes.
 
     Only key and text are read, so other columns, whatever their names, play no part.
     """
+    small_batches(docs.sparkSession)
     names = [x.strip().split(" ")[0] for x in columns.split(",")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

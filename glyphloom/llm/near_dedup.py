@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphloom.llm.common import dropped, rowed, sized, skew_join, staged, table
+from glyphloom.llm.common import dropped, rowed, sized, skew_join, small_batches, staged, table
 
 #: A pair of similarity 0.8 shares no band with a chance of (1 - 0.8**4)**28 = 4e-7.
 BANDS, ROWS = 28, 4
@@ -204,6 +204,7 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     component. A null doc_id can't name a component: such a row is kept and has a null component_id. Equal texts are
     linked. An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     signed = staged(signatures(docs, width), "signatures")
     total = signed.count()
     # Nodes: distinct sets, named by their smallest doc_id. All rows of a set have the same bands and sketch.

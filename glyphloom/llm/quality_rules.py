@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphloom.llm.common import rowed, sized, staged, table
+from glyphloom.llm.common import rowed, sized, small_batches, staged, table
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -65,6 +65,7 @@ def counts(text: str) -> tuple[int, int, int, int, int]:
 
 def statistics(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source, row_key (a hash of these and the text) and the five counts of every row; null texts count as empty."""
+    small_batches(docs.sparkSession)
     keyed = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.coalesce("text", F.lit("")).alias("text"))
     keyed = keyed.withColumn("row_key", F.xxhash64("doc_id", "lang", "source", "text"))
 

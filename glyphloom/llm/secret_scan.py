@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphloom.llm.common import shared_dir, sized, skew_join, staged, table
+from glyphloom.llm.common import shared_dir, sized, skew_join, small_batches, staged, table
 
 # The base kinds in their order, then the method's own. (kind, version, literal that a text must hold, pattern, group, least length)
 RULES = (
@@ -63,6 +63,7 @@ def scan(docs: DataFrame, ledger: str, rules: tuple = RULES) -> DataFrame:
     returned like any other, repeated rows as often as they come. An empty table leaves the ledger as it was. Two rules can
     find the same place; both findings stand. Only doc_id and text are read. The length of a text has no bound.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     spark.createDataFrame([], LEDGER).write.mode("append").parquet(ledger)
     known = spark.read.schema(LEDGER).parquet(ledger)
