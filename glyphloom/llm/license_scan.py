@@ -96,7 +96,7 @@ def rules() -> list[tuple[int, tuple[str, ...], str, str, float]]:
     """(priority, keywords, pattern, label, weight) in order: addresses and tags first, then grants, names and titles."""
     out = []
     for label, key, names, ids, urls in FAMILIES:
-        out += [(4, (u.split(r"\.")[0].split("(")[0].strip("\\b"),), u, label, 0.9) for u in urls]
+        out += [(4, (u.split(r"\.")[0].split("(")[0].removeprefix(r"\b").removesuffix(r"\b"),), u, label, 0.9) for u in urls]
         out += [(4, ("spdx",), rf"spdx-license-identifier:\s*\(?(?:[\w.+-]+\s+(?:or|and|with)\s+)*{i}(?![\w.+-])", label, 0.95) for i in ids]
         out += [(3, OWN_KEYS.get(n, (key,)), rf"(?:licen[sc]ed|released|distributed|available|published|redistribute\S*|provided)\s+(?:\S+\s+){{0,5}}?(?:under|by|with)\s+(?:the\s+(?:terms\s+of\s+the\s+)?|an?\s+)?(?:{n})", label, 0.85) for n in names]
         out += [(3, ("licen",), rf"\blicen[sc]e\s*[:=]\s*[\"']?{i}(?![\w.+-])", label, 0.8) for i in ids]
@@ -156,7 +156,9 @@ def scanner():
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """A row per row of docs. Null text counts as empty: no words, no labels, score 0.
+    """A row per row of docs. Null text counts as empty: no words, no labels, score 0. Rows that repeat are rows of the result; an empty table gives an empty one.
+
+    Of detections that begin and end alike, the one of higher priority stands; of equal priority, the first in order.
 
     score: 1 minus the product of what the detections and base places leave open.
     """
@@ -171,4 +173,5 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents with its licenses; null text counts as empty."""
     return scan(table(spark, sf_dir, "documents"))

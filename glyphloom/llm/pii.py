@@ -153,4 +153,5 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents with its personal data; null text counts as empty."""
     return digest(sanitise(table(spark, sf_dir, "documents")))

@@ -33,13 +33,13 @@ def held_out(doc_id) -> F.Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
-    """(text, label) of the bounded sample. Of a document with several labels, only agreeing ones count; null labels and empty texts don't."""
+    """(text, label) of the bounded sample. Of a document with several labels, only agreeing ones count; null labels and empty texts don't. Of rows that repeat a doc_id the least text counts."""
     one = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id")).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("lo"), F.max("quality").alias("hi")).filter("lo = hi").select("doc_id", F.col("lo").cast("int").alias("label"))
     got = []
     for label in (0, 1):
         picked = one.filter(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)  # a top-k of ids: bounded
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter((F.length("text") > 0) & (F.length("text") <= SAMPLE_CHARS)).join(F.broadcast(picked), "doc_id")
-        got += sorted((r["doc_id"], r["text"], label) for r in rows.dropDuplicates(["doc_id"]).collect())
+        got += sorted((r["doc_id"], r["text"], label) for r in rows.groupBy("doc_id").agg(F.min("text").alias("text")).collect())
     return [(t, y) for _, t, y in got]
 
 
@@ -104,7 +104,11 @@ def fit(rows: list[tuple[str, int]]) -> Scorer:
 
 
 def classify(docs: DataFrame, scorer: Scorer) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row; null text counts as empty. Only the text enters the score."""
+    """doc_id, held_out, score, predicted of every row; null text counts as empty. Only the text enters the score.
+
+    Rows that repeat are rows of the result, a null doc_id counts as the text '' for held_out, an empty table gives an empty
+    result. Texts of any length count whole.
+    """
 
     small_batches(docs.sparkSession)
     def run(batches):
@@ -118,5 +122,6 @@ def classify(docs: DataFrame, scorer: Scorer) -> DataFrame:
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents scored by a classifier that is fitted on the labelled rows outside the held-out fold."""
     docs = table(spark, sf_dir, "documents")
     return classify(docs, fit(sample(docs, table(spark, sf_dir, "labels"))))

@@ -3,14 +3,18 @@
 Each text gives five counts (the base). They are turned into a vector of four
 logarithmic or relative statistics. For every language and source the
 minimum-covariance-determinant estimate of centre and scatter is found over all
-rows: a robust start from the corpus (median and spread, read off histograms),
-then concentration steps, each of which keeps the half-and-quarter of rows
-nearest to the last centre and estimates anew. A row is rejected if its squared
-Mahalanobis distance exceeds CUT.
-
-Every step is one pass over the slim table of vectors and returns one small row
-per group; distances are counted in fixed bins, so that no group, however
-large, meets in one task. Values are integers, so sums don't depend on order.
+rows: from two starts (medians with spreads, and the plain moments) concentration
+steps, each of which keeps the three quarters of the rows nearest to the last
+centre and estimates anew, until the determinants settle; the start with the
+smaller determinant stands. A row is rejected if its squared Mahalanobis distance
+exceeds CUT.
+
+A group's moments are pooled with PRIOR rows of its language's, and those with
+PRIOR rows of all, so a verdict changes smoothly with a group's size. Every step
+is one pass over the slim table of vectors; estimates are a table with a row per
+group, joined back by group. Distances are counted in fixed bins, so that no
+group, however large, meets in one task. Values are integers, so sums don't depend
+on order.
 """
 
 from __future__ import annotations
@@ -19,13 +23,15 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphloom.llm.common import rowed, sized, small_batches, staged, table
+from glyphloom.llm.common import BROADCAST_BYTES, dropped, rowed, sized, skew_join, small_batches, staged, table
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: Share of a group that the estimate rests on, steps, rows that the wider estimate counts for in a group's own.
-COVERAGE, STEPS, PRIOR = 0.75, 4, 200
+#: Share of a group that the estimate rests on, steps at most, change of the mean logarithm of the determinants that ends them, rows that the wider estimate counts for in a group's own.
+COVERAGE, STEPS, SETTLED, PRIOR = 0.75, 8, 1e-3, 200
+#: The trimmed covariance of 4 normal statistics at this coverage is so much of the whole one.
+TRIMMED = 0.61
 #: Squared distance beyond which a row goes: the point that a chi-square with 4 degrees of freedom exceeds with chance TAIL.
 TAIL = 1e-5
 CUT = 28.473255
@@ -91,95 +97,105 @@ def _vector(df: DataFrame) -> DataFrame:
     return df.withColumns({f"x_{k}": F.round(v * UNIT).cast("long") for k, v in made.items()})
 
 
-def _joined(df: DataFrame, name: str, kind: str, of: dict) -> DataFrame:
-    """df with the value of its group as a column, null where there is none. One small row per group."""
-    return df.join(F.broadcast(df.sparkSession.createDataFrame(sorted(of.items()), f"grp string, {name} {kind}")), "grp", "left")
+STARTS = 2
+_PAIRS = [(i, j) for i in range(len(FEATURES)) for j in range(i, len(FEATURES))]
+#: Names of a start's moments: rows, sums, sums of products.
+_NAMES = lambda k: [f"m{k}_n", *[f"m{k}_s{i}" for i in range(len(FEATURES))], *[f"m{k}_p{i}{j}" for i, j in _PAIRS]]
 
 
-def _distance(df: DataFrame, est: dict) -> DataFrame:
-    """df with distance: the squared distance of the row from its group's estimate; est: group -> (centre, inverse scatter)."""
-    d = len(FEATURES)
-    df = _joined(df, "est", "array<double>", {g: [float(v) for v in (*c, *np.asarray(s).ravel())] for g, (c, s) in est.items()})
-    diff = [(F.col(f"x_{k}") / UNIT - F.col("est")[i]) for i, k in enumerate(FEATURES)]
-    total = F.lit(0.0)
-    for i in range(d):
-        for j in range(d):
-            total = total + diff[i] * diff[j] * F.col("est")[d + i * d + j]
-    return df.withColumn("distance", total).drop("est")
+def _moments(df: DataFrame, keep: list[F.Column]) -> DataFrame:
+    """Per group and start: rows, sums and sums of products of the rows kept."""
+    xs, out = [F.col(f"x_{k}") for k in FEATURES], []
+    for k, own in enumerate(keep):
+        values = [F.lit(1), *xs, *[xs[i] * xs[j] for i, j in _PAIRS]]
+        out += [F.coalesce(F.sum(F.when(own, v)), F.lit(0)).cast("double").alias(n) for n, v in zip(_NAMES(k), values, strict=True)]
+    return df.groupBy("grp", "grp_lang").agg(*out)
 
 
-def _pooled(parts: list[tuple]) -> tuple:
-    """Rows, centre and scatter of several (rows, centre, scatter) taken together."""
-    n = sum(w for w, _, _ in parts)
-    c = sum(w * c for w, c, _ in parts) / n
-    return n, c, sum(w * (s + np.outer(x - c, x - c)) for w, x, s in parts) / n
+def _starts(good: DataFrame) -> DataFrame:
+    """Moments of both starts: medians with the spread between quartiles, and the plain ones."""
+    quarts = [F.percentile(f"x_{k}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}") for i, k in enumerate(FEATURES)]
+    n, mid = F.col("n").cast("double"), [F.col(f"q{i}")[1] for i in range(len(FEATURES))]
+    spread = [F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.35, F.lit(f * UNIT)) for i, f in enumerate(FLOOR)]
+    values = [n, *[n * m for m in mid], *[n * (mid[i] * mid[j] + (spread[i] * spread[i] if i == j else 0.0)) for i, j in _PAIRS]]
+    robust = good.groupBy("grp", "grp_lang").agg(F.count("*").alias("n"), *quarts).select("grp", "grp_lang", *[v.alias(c) for c, v in zip(_NAMES(0), values, strict=True)])
+    plain = _moments(good, [F.lit(False), F.lit(True)]).select("grp", *_NAMES(1))
+    return robust.join(plain, "grp")
 
 
-def _shrunk(own: dict, langs: dict[str, str]) -> dict:
-    """Per group centre and scatter: its own pooled with PRIOR rows of its language's, and that with PRIOR rows of all.
+def matrices(means: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Centres, inverse scatters and logarithms of the scatters' determinants, of rows of mean values and mean products; share: what trimming has left of the scatter."""
+    d = len(FEATURES)
+    centre, scatter = means[:, :d] / UNIT, np.zeros((len(means), d, d))
+    for c, (i, j) in enumerate(_PAIRS):
+        scatter[:, i, j] = scatter[:, j, i] = means[:, d + c] / UNIT**2 - centre[:, i] * centre[:, j]
+    scatter = scatter / share + np.diag(np.square(FLOOR))
+    return centre, np.linalg.inv(scatter), np.linalg.slogdet(scatter)[1]
+
+
+def _estimates(moments: DataFrame, share: float) -> DataFrame:
+    """grp, and for each start est (centre, then inverse scatter) and det (logarithm of the determinant), a row per group."""
+    moments = staged(moments, "moments")
+    names = [n for k in range(STARTS) for n in _NAMES(k)]
+    whole = moments.agg(*[F.sum(n).alias(n) for n in names]).first()
+    langs = moments.groupBy("grp_lang").agg(*[F.sum(n).alias(f"l_{n}") for n in names])
+    pooled = []
+    for k in range(STARTS):
+        n, *rest = _NAMES(k)
+        for c in rest:
+            lang = (F.col(f"l_{c}") + PRIOR * (whole[c] or 0.0) / (whole[n] or 1.0)) / (F.col(f"l_{n}") + PRIOR)
+            pooled.append(((F.col(c) + PRIOR * lang) / (F.col(n) + PRIOR)).alias(c))
 
-    own: group -> (rows, centre, scatter), of some groups at least; langs: the language of every group.
-    """
-    whole, wide = _pooled(list(own.values())), {}
-    for lang in sorted(set(langs.values())):
-        wide[lang] = _pooled([x for g, x in own.items() if langs[g] == lang] + [(PRIOR, *whole[1:])])
-    return {g: _pooled(([own[g]] if g in own else []) + [(PRIOR, *wide[lang][1:])])[1:] for g, lang in langs.items()}
-
-
-def _moments(df: DataFrame, keep: F.Column) -> dict:
-    """Per group: rows, sums and sums of products of the rows kept. As many results as groups."""
-    xs = [f"x_{k}" for k in FEATURES]
-    sums = [F.sum(F.when(keep, F.col(a))).alias(f"s{i}") for i, a in enumerate(xs)]
-    prods = [F.sum(F.when(keep, F.col(a) * F.col(b))).alias(f"p{i}_{j}") for i, a in enumerate(xs) for j, b in enumerate(xs) if i <= j]
-    out = {}
-    for r in df.groupBy("grp").agg(F.sum(F.when(keep, 1)).alias("n"), *sums, *prods).collect():
-        if not r["n"]:
-            continue
-        n, d = r["n"], len(xs)
-        c = np.array([int(r[f"s{i}"]) / n for i in range(d)]) / UNIT
-        s = np.array([[int(r[f"p{min(i, j)}_{max(i, j)}"]) / n for j in range(d)] for i in range(d)]) / UNIT**2 - np.outer(c, c)
-        out[r["grp"]] = (n, c, s)
+    def run(batches):
+        for pdf in batches:
+            out = pdf[["grp"]].copy()
+            for k in range(STARTS):
+                centre, inverse, det = matrices(pdf[_NAMES(k)[1:]].to_numpy(float), share)
+                out[f"est{k}"] = list(np.concatenate([centre, inverse.reshape(len(pdf), -1)], axis=1))
+                out[f"det{k}"] = det
+            yield out
+
+    kinds = ", ".join(f"est{k} array<double>, det{k} double" for k in range(STARTS))
+    out = staged(moments.join(langs, "grp_lang").select("grp", *pooled).mapInPandas(run, f"grp string, {kinds}"), "estimates")
+    dropped(moments)
     return out
 
 
-def _inverse(est: dict) -> dict:
-    """The scatter made consistent (the nearest COVERAGE of normal rows has less than all of it) and kept above FLOOR."""
-    # For 4 normal statistics the trimmed covariance at 0.75 is 0.61 of the whole one.
-    return {g: (c, np.linalg.inv(s / 0.61 + np.diag(np.square(FLOOR)))) for g, (c, s) in est.items()}
-
-
-def _threshold(df: DataFrame) -> dict:
-    """Per group the bin up to which COVERAGE of its rows lie: exact counts in bins of the logarithm of the distance."""
-    bins: dict[str, list] = {}
-    for r in df.groupBy("grp", "bin").count().collect():  # at most groups x 700 rows
-        bins.setdefault(r["grp"], []).append((r["bin"], r["count"]))
-    out = {}
-    for g, got in bins.items():
-        need, sofar = COVERAGE * sum(n for _, n in got), 0
-        for b, n in sorted(got):
-            sofar += n
-            if sofar >= need:
-                out[g] = b
-                break
-    return out
+def _squared(est: str) -> F.Column:
+    """The squared distance of a row from the estimate in this column."""
+    d, total = len(FEATURES), F.lit(0.0)
+    diff = [(F.col(f"x_{k}") / UNIT - F.col(est)[i]) for i, k in enumerate(FEATURES)]
+    for i in range(d):
+        for j in range(d):
+            total = total + diff[i] * diff[j] * F.col(est)[d + i * d + j]
+    return total
 
 
-def _robust_start(df: DataFrame) -> dict:
-    """Per group its rows and the coordinate-wise median and squared spread, read off histograms of bins of 1 / 50."""
-    out: dict[str, tuple] = {}
-    per: dict[str, list] = {}
-    for i, k in enumerate(FEATURES):
-        got: dict[str, list] = {}
-        for r in df.groupBy("grp", F.expr(f"x_{k} div {UNIT // 50}").alias("b")).count().collect():  # logarithms: a few hundred bins a group
-            got.setdefault(r["grp"], []).append((r["b"], r["count"]))
-        for g, bs in got.items():
-            bs.sort()
-            cum, n = np.cumsum([c for _, c in bs]), sum(c for _, c in bs)
-            q = [bs[int(np.searchsorted(cum, p * n))][0] / 50 for p in (0.25, 0.5, 0.75)]
-            per.setdefault(g, []).append((q[1], max((q[2] - q[0]) / 1.35, FLOOR[i]), int(n)))
-    for g, x in per.items():
-        out[g] = (x[0][2], np.array([m for m, _, _ in x]), np.diag([s**2 for _, s, _ in x]))
-    return out
+def _of_group(df: DataFrame, groups: DataFrame, sizes: DataFrame, total: int, row_bytes: int) -> DataFrame:
+    """df with the columns of its group, a row each: by broadcast while groups are small, else in a skew-safe join."""
+    if groups.limit(BROADCAST_BYTES // row_bytes + 1).count() <= BROADCAST_BYTES // row_bytes:
+        return df.join(F.broadcast(groups), "grp", "left")
+    return skew_join(df, groups.join(sizes, "grp"), "grp", "size", total).drop("size")
+
+
+def distances(stats: DataFrame) -> DataFrame:
+    """stats (with grp, grp_lang, the vector and base_failed) and distance, the squared one; null in a group without rows that pass the base."""
+    good = stats.filter(~F.col("base_failed"))
+    sizes = staged(stats.groupBy("grp").agg(F.count("*").alias("size")), "sizes")
+    total = sizes.agg(F.sum("size")).first()[0] or 0
+    est, before = _estimates(_starts(good), 1.0), None
+    for _ in range(STEPS):
+        near = _of_group(good, est, sizes, total, 600)
+        near = near.select("grp", "grp_lang", *[f"x_{k}" for k in FEATURES], *[F.floor(F.log(_squared(f"est{k}") + 1e-6) * BINS_PER_E).cast("int").alias(f"bin{k}") for k in range(STARTS)])
+        bounds = staged(near.groupBy("grp").agg(*[F.expr(f"percentile_disc({COVERAGE}) within group (order by bin{k})").cast("int").alias(f"most{k}") for k in range(STARTS)]), "bounds")
+        now = _estimates(_moments(_of_group(near, bounds, sizes, total, 100), [F.col(f"bin{k}") <= F.col(f"most{k}") for k in range(STARTS)]), TRIMMED)
+        dropped(est, bounds)
+        est, after = now, now.agg(*[F.avg(f"det{k}") for k in range(STARTS)]).first()
+        if after[0] is None or before is not None and max(abs(a - b) for a, b in zip(after, before, strict=True)) < SETTLED:
+            break
+        before = after
+    best = est.select("grp", F.when(F.col("det1") < F.col("det0"), F.col("est1")).otherwise(F.col("est0")).alias("est"))
+    return _of_group(stats, best, sizes, total, 300).withColumn("distance", _squared("est")).drop("est")
 
 
 def rules(docs: DataFrame) -> DataFrame:
@@ -187,25 +203,16 @@ def rules(docs: DataFrame) -> DataFrame:
 
     Null or empty text: all counts 0, base_failed true. Null language or source: a group of its own.
     Every language and source has its own estimate, drawn towards its language's, and that towards the one of
-    all rows, the more the fewer rows it has. Equal rows get equal verdicts; an empty table gives an empty result.
+    all rows, the more the fewer rows it has. A statistic that is constant in a group has the scatter of FLOOR. distance is
+    null only in groups in which no row passes the base. Equal rows get equal verdicts; an empty table gives an empty
+    result. Texts of any length count whole. Columns other than doc_id, text, lang and source play no part.
     """
     stats = _vector(staged(statistics(docs), "quality"))
-    pass_base = ~((F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
-    stats = stats.withColumn("base_failed", ~pass_base)
-    lang, pair = F.coalesce("lang", F.lit("\0")), F.concat_ws("\x01", F.coalesce("lang", F.lit("\0")), F.coalesce("source", F.lit("\0")))
-    langs = {r["p"]: r["l"] for r in stats.select(lang.alias("l"), pair.alias("p")).distinct().collect()}  # one row per language and source
-    stats = stats.withColumn("grp", pair)
-    good = stats.filter(~F.col("base_failed"))
-    est = _robust_start(good)
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    lang = F.coalesce("lang", F.lit("\0"))
+    stats = stats.withColumn("base_failed", failed).withColumn("grp_lang", lang).withColumn("grp", F.concat_ws("\x01", lang, F.coalesce("source", F.lit("\0"))))
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    if not est:
-        return stats.select(*columns, F.lit(False).alias("kept"), F.lit(None).cast("double").alias("distance"), "row_key")
-    est = {g: (c, np.linalg.inv(s)) for g, (c, s) in _shrunk(est, langs).items()}
-    for _ in range(STEPS):
-        near = _distance(good, est).withColumn("bin", F.floor(F.log(F.col("distance") + 1e-6) * BINS_PER_E).cast("int"))
-        near = _joined(near, "limit", "int", _threshold(near))
-        est = _inverse(_shrunk(_moments(near, F.col("bin") <= F.col("limit")), langs))
-    return _distance(stats, est).select(*columns, (~F.col("base_failed") & F.coalesce(F.col("distance") <= CUT, F.lit(True))).alias("kept"), "distance", "row_key")
+    return distances(stats).select(*columns, (~F.col("base_failed") & (F.col("distance") <= CUT)).alias("kept"), "distance", "row_key").fillna({"kept": False})
 
 
 def accepted(docs: DataFrame) -> DataFrame:
@@ -216,4 +223,5 @@ def accepted(docs: DataFrame) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents with its counts and verdict; null text counts as empty."""
     return rules(table(spark, sf_dir, "documents"))
