@@ -56,8 +56,8 @@ def java_pattern(pattern: str) -> str:
 def pair_table(vocab: dict[bytes, int]) -> tuple[list[int], list[int]]:
     """The map from pairs of tokens to the rank of their joined bytes, as a sparse matrix whose rows lie over each other.
 
-    Token `left` has its row at offset[left]; entries[offset[left] + right] is left << 17 | rank if the pair has one. Rows
-    are placed, the fullest first, where their entries hit free places.
+    Token `left` has its row at offset[left]; entries[offset[left] + right] is (left + 1) << 17 | rank if the pair has one, and 0
+    where there is no entry, which keeps the literal short. Rows are placed, the fullest first, where their entries hit free places.
     """
     made = [(vocab[token[:i]], vocab[token[i:]], rank) for token, rank in vocab.items() for i in range(1, len(token)) if token[:i] in vocab and token[i:] in vocab]
     pairs = np.array(made, np.int64).reshape(-1, 3)
@@ -65,8 +65,8 @@ def pair_table(vocab: dict[bytes, int]) -> tuple[list[int], list[int]]:
     pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
     lefts, begin, count = np.unique(pairs[:, 0], return_index=True, return_counts=True)
     width = EDGE + 1
-    offset, entries = np.zeros(width, np.int64), np.full(8 * width, NONE << 17, np.int64)
-    free, draw, at, top = np.ones(8 * width, bool), np.random.default_rng(8), 0, 4 * width
+    offset, entries = np.zeros(width, np.int64), np.zeros(8 * width, np.int64)
+    free, draw, at, top, size = np.ones(8 * width, bool), np.random.default_rng(8), 0, 5 * width // 2, 1 << 17
 
     def fit(tries: np.ndarray, cols: np.ndarray) -> int | None:
         good = np.flatnonzero(free[tries[:, None] + cols[:8]].all(1))
@@ -79,12 +79,14 @@ def pair_table(vocab: dict[bytes, int]) -> tuple[list[int], list[int]]:
         for _ in range(20 if place is None and len(cols) <= 16 else 0):  # short rows fall into gaps
             if (place := fit(draw.integers(0, top - width, 256), cols)) is not None:
                 break
+        if len(cols) <= size // 2:  # shorter rows may fit where longer ones did not
+            at, size = 0, len(cols)
         while place is None:  # long ones, and what found no gap, go on where the last was placed
             place = fit(np.arange(at, at + 256), cols)
             at = at + 256 if place is None else place
         offset[lefts[k]] = place
         free[place + cols] = False
-        entries[place + cols] = lefts[k] << 17 | pairs[begin[k] : begin[k] + count[k], 2]
+        entries[place + cols] = (lefts[k] + 1) << 17 | pairs[begin[k] : begin[k] + count[k], 2]
     return offset.tolist(), entries[: int(offset.max()) + width].tolist()
 
 
@@ -112,7 +114,7 @@ class Codec:
         self._offset, self._entries = _array("int", offset), _array("bigint", entries)
         self._pieces = _array("string", [p.decode("latin-1") for p in self.pieces])
         self._first = _array("int", [vocab[bytes([b])] for b in range(256)])
-        self._pairs = _array("bigint", [vocab.get(bytes([a, b]), NONE) for a in range(256) for b in range(256)])
+        self._pairs = _array("int", [vocab.get(bytes([a, b]), -1) + 1 for a in range(256) for b in range(256)])
 
     def fold(self, word: Column) -> Column:
         """The token ids of one non-empty word."""
@@ -123,7 +125,8 @@ class Codec:
 
         def begin(b: Column) -> Column:
             def one(x: Column, i: Column) -> Column:
-                rank = F.coalesce(F.get(self._pairs, x * 256 + F.get(b, i + 1)), F.lit(NONE))
+                known = F.get(self._pairs, x * 256 + F.get(b, i + 1))  # one more than the rank
+                rank = F.when(known > 0, known.cast("bigint") - 1).otherwise(F.lit(NONE).cast("bigint"))
                 return high(rank).bitwiseOR(F.shiftleft(i.cast("bigint"), FIRST_AT)).bitwiseOR(F.get(self._first, x).cast("bigint"))
 
             return F.concat(wall, F.transform(b, one), wall)
@@ -131,7 +134,7 @@ class Codec:
         def ranked(x: Column, right: Column) -> Column:
             """x, a pair without its rank, with it. An entry of another row keeps higher bits: it counts as no rank."""
             left = token(x)
-            rank = F.get(self._entries, F.get(self._offset, left.cast("int")) + right.cast("int")).bitwiseXOR(F.shiftleft(left, 17))
+            rank = F.get(self._entries, F.get(self._offset, left.cast("int")) + right.cast("int")).bitwiseXOR(F.shiftleft(left + 1, 17))
             return high(F.least(rank, F.lit(NONE).cast("bigint"))).bitwiseOR(x)
 
         def merge(v: Column, low: Column, at: Column) -> Column:
@@ -201,9 +204,10 @@ def _table_of(sent) -> dict[str, bytes]:
     return _known[tag]
 
 
-def encoded(docs: DataFrame, codec: Codec, *keep: str, ids: bool = True) -> DataFrame:
+def encoded(docs: DataFrame, codec: Codec, *keep: str, ids: bool = True, order: tuple[str, ...] = ()) -> DataFrame:
     """The columns keep of every row of docs, then ids (array<int>; or packed, the ids as little-endian unsigned 32-bit integers) and decoded (binary).
 
+    order: columns among keep that the result is ordered by; the texts are sorted before they are encoded, not after.
     Null text counts as empty: no ids, no bytes. Rows that repeat are rows of the result; an empty table gives an empty
     result. Other columns than keep and text play no part. A text's length has no bound; a word is folded in time that grows
     with the square of its length.
@@ -215,7 +219,9 @@ def encoded(docs: DataFrame, codec: Codec, *keep: str, ids: bool = True) -> Data
     if spark.conf.get("spark.sql.maxPlanStringLength").startswith("2147483632"):  # unset: plans hold the tables; their descriptions needn't
         spark.conf.set("spark.sql.maxPlanStringLength", "8192")
     text = F.coalesce("text", F.lit("")).alias("text")
+    spark._jvm.System.gc()  # the driver gives back what earlier work has left, before the tables are made, and again after their first use
     known, stream = frequent(docs.select(text), codec), pa.BufferOutputStream()
+    spark._jvm.System.gc()
     with pa.ipc.new_stream(stream, known.schema) as out:
         out.write_table(known, 50_000)
     del known
@@ -245,7 +251,7 @@ def encoded(docs: DataFrame, codec: Codec, *keep: str, ids: bool = True) -> Data
             told = pa.ListArray.from_arrays(pa.array(at), pa.array(every)) if ids else pa.array(parts, pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), listed(told), listed(decoded), pa.array(rare, pa.list_(pa.string()))], ["row", "told", "decoded", "rare"])
 
-    plain = docs.select(F.struct(*[F.col(c) for c in keep]).alias("row"), text)
+    plain = (docs.orderBy(*order) if order else docs).select(F.struct(*[F.col(c) for c in keep]).alias("row"), text)
     kind = plain.schema["row"].dataType.simpleString()
     out = plain.mapInArrow(stretches, f"row {kind}, told {'array<array<int>>' if ids else 'array<binary>'}, decoded array<binary>, rare array<string>")
     out = out.select("row", "told", "decoded", F.transform("rare", codec.fold).alias("folded"))
