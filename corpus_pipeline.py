@@ -37,9 +37,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, mix_slot, mix_rank, ids, n_tokens and the digest of the decoded bytes, which is that of the text, in the order of the schedule."""
-    # Sorted before the encoding, which a sort after it would do twice.
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "mix_slot", "mix_rank", "text").orderBy("mix_slot", "mix_rank")
-    out = bpe.encoded(own, bpe.public_codec(), "doc_id", "source", "mix_slot", "mix_rank")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "mix_slot", "mix_rank", "text")
+    out = bpe.encoded(own, bpe.public_codec(), "doc_id", "source", "mix_slot", "mix_rank", order=("mix_slot", "mix_rank"))
     return out.select("doc_id", "source", "mix_slot", "mix_rank", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
