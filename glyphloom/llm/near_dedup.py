@@ -249,12 +249,16 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     named = staged(members.join(sized(joined, 60), "node"), "named")
     kinds = named.groupBy("band", "component").agg(F.count("*").alias("k")).groupBy("band").agg(F.max(F.struct("k", "component"))["component"].alias("main"), F.count("*").alias("kinds"), F.sum("k").alias("k")).filter("kinds > 1")
     mixed = staged(skew_join(named.select("band", "node", "component"), kinds.select("band", "main", "k"), "band", "k", total * BANDS, "inner"), "mixed")
-    outside = mixed.filter("component <> main").select("band", F.col("node").alias("a"), F.col("component").alias("a_component"))
-    others = mixed.select("band", F.col("node").alias("b"), F.col("component").alias("b_component"), (F.col("component") == F.col("main")).alias("b_main"))
-    rest = outside.join(others, "band").filter((F.col("a_component") != F.col("b_component")) & (F.col("b_main") | (F.col("a") < F.col("b")))).select("a", "b").distinct()
+    # Sizes and sketches go along, so that the join itself leaves out what they rule out.
+    known = facts.join(sized(staged(mixed.select("node").distinct(), "left"), 40), "node", "left_semi")
+    mixed = mixed.join(sized(staged(known, "facts"), 400), "node")
+    side = lambda df, x, *more: df.select("band", *[F.col(c).alias(f"{x}_{c}") for c in ("n", "sketch", "component")], F.col("node").alias(x), *more)
+    outside, others = side(mixed.filter("component <> main"), "a"), side(mixed, "b", (F.col("component") == F.col("main")).alias("b_main"))
+    allowed = (F.col("a_component") != F.col("b_component")) & (F.col("b_main") | (F.col("a") < F.col("b"))) & _alike("a", "b")
+    rest = outside.withColumnRenamed("band", "a_band").join(others, (F.col("a_band") == F.col("band")) & allowed).select("a", "b").distinct()
     for tries in tried:  # a pair that failed fails again
         rest = rest.join(tries, ["a", "b"], "left_anti").join(tries.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    rest = staged(alike(staged(rest, "rest")).select("a", "b"), "alike")
+    rest = staged(rest, "rest")
     if rest.limit(1).count():
         joined = merged(staged(confirmed(rest, sets), "links"))
     classes = nodes.join(joined, "node", "left").select("own", "times", F.coalesce("component", "node").alias("component"))
