@@ -7,6 +7,8 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from glyphloom.functions.text import nfc
+
 # The TCVN3 encoding, character by character.
 TCVN3 = {
     "¡": "Ă", "¢": "Â", "£": "Ê", "¤": "Ô", "¥": "Ơ", "¦": "Ư", "§": "Đ", "¨": "ă", "©": "â", "ª": "ê", "«": "ô", "¬": "ơ", "\xad": "ư", "®": "đ",
@@ -93,6 +95,16 @@ def tcvn3_decode(text: Column) -> Column:
     return upper_runs(tcvn3_mapped(text))
 
 
+def tcvn3_convert(text: Column) -> Column:
+    """tcvn3_decode, composed: whole texts only, as composing leaves the JVM."""
+    return nfc(tcvn3_decode(text))
+
+
+def vni_convert(text: Column) -> Column:
+    """vni_decode, composed."""
+    return nfc(vni_decode(text))
+
+
 def vni_decode(text: Column) -> Column:
     table = _mapped(VNI_DECODE)
     return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(VNI_PATTERN), F.lit(0)), lambda x: F.when(x.rlike("[^\\x00-\\x7f]"), F.coalesce(F.try_element_at(table, x), x)).otherwise(x)), "")

@@ -35,13 +35,14 @@ def text_family(text: Column) -> Column:
 
 
 def classify(fonts: Column, text: Column, is_doc: Column) -> Column:
-    """The encoding by the chain of gates: fonts, legacy test (of .doc only), dominance, shape, fewer unmapped characters."""
+    """The encoding by the chain of gates: fonts, legacy test (of .doc only), dominance, shape, fewer unmapped characters. Without text, the alphabetically first encoding of the fonts."""
     table = codecs._mapped(FONTS)
     known = F.exists(fonts, lambda f: F.try_element_at(table, F.lower(F.substring(f, 1, 3))).isNotNull())
     family = text_family(text)
     t, v = F.size(codecs.unmapped(codecs.tcvn3_decode(text))), F.size(codecs.unmapped(codecs.vni_decode(text)))
+    first = F.array_min(F.filter(F.transform(fonts, lambda f: F.try_element_at(table, F.lower(F.substring(f, 1, 3)))), lambda x: x.isNotNull()))
     open_ = known & text.isNotNull() & (~is_doc | F.coalesce(text_is_legacy(text), F.lit(False))) & legacy_dominates(text) & family.isNotNull()
-    return F.when(open_, F.when(t < v, "tcvn3").when(v < t, "vni").otherwise(family))
+    return F.when(known & text.isNull(), first).when(open_, F.when(t < v, "tcvn3").when(v < t, "vni").otherwise(family))
 
 
 def scan_kind(chars_per_page: Column, image_share: Column, pages: Column) -> Column:

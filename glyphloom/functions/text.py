@@ -49,9 +49,9 @@ def base_letters(text: Column) -> Column:
 
 
 def diacritics(text: Column) -> Column:
-    """How many letters bear a diacritic."""
+    """How many characters bear a diacritic: letters that decompose to one, and combining marks."""
     letters = "".join(c for c in FOLD_FROM if unicodedata.category(c)[0] == "L")
-    return F.length(text) - F.length(F.translate(text, letters, ""))
+    return F.length(text) - F.length(F.regexp_replace(F.translate(text, letters, ""), r"\p{Mn}", ""))
 
 
 def segments(text: Column) -> Column:

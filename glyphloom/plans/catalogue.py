@@ -69,7 +69,7 @@ def base_letters(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.base_letters(F.col("text")).cast("binary")).alias("text_md5"))
 
 
-@query("SELECT lang, count(*) AS n_documents, sum(length(regexp_replace(text, '[^ÄÇÈÉÊÍÑÓÖÜäçèéêíñóöü]', '', 'g'))) AS n_diacritics, sum(length(text)) AS n_chars FROM documents GROUP BY lang")
+@query("SELECT lang, count(*) AS n_documents, sum(length(regexp_replace(text, '[^ÄÇÈÉÊÍÑÓÖÜäçèéêíñóöü\\p{Mn}]', '', 'g'))) AS n_diacritics, sum(length(text)) AS n_chars FROM documents GROUP BY lang")
 def diacritic_count_by_lang(spark, sf_dir):
     t = F.col("text")
     return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n_documents"), F.sum(T.diacritics(t)).alias("n_diacritics"), F.sum(F.length(t)).alias("n_chars"))
@@ -135,9 +135,9 @@ def classify_gate(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", screening.classify(F.array(font), F.col("text"), F.col("doc_id") % 2 == 0).alias("encoding"))
 
 
-@query(f"SELECT doc_id, md5({_UPPER(_TCVN3('text'))}) AS text_md5, {_RESIDUE(_UPPER(_TCVN3('text')))} AS residue FROM documents")
+@query(f"SELECT doc_id, md5(nfc_normalize({_UPPER(_TCVN3('text'))})) AS text_md5, {_RESIDUE('nfc_normalize(' + _UPPER(_TCVN3('text')) + ')')} AS residue FROM documents")
 def tcvn3_decode(spark, sf_dir):
-    out = table(spark, sf_dir, "documents").select("doc_id", codecs.tcvn3_decode(F.col("text")).alias("t"))
+    out = table(spark, sf_dir, "documents").select("doc_id", codecs.tcvn3_convert(F.col("text")).alias("t"))
     return out.select("doc_id", F.md5(F.col("t").cast("binary")).alias("text_md5"), codecs.residue(F.col("t")).cast("long").alias("residue"))
 
 
@@ -146,9 +146,9 @@ def uppercase_runs(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", (codecs.upper_runs(F.col("text")) != F.col("text")).alias("changed"))
 
 
-@query(f"SELECT doc_id, md5({_VNI('text')}) AS text_md5, {_RESIDUE(_VNI('text'))} AS residue FROM documents")
+@query(f"SELECT doc_id, md5(nfc_normalize({_VNI('text')})) AS text_md5, {_RESIDUE('nfc_normalize(' + _VNI('text') + ')')} AS residue FROM documents")
 def vni_decode(spark, sf_dir):
-    out = table(spark, sf_dir, "documents").select("doc_id", codecs.vni_decode(F.col("text")).alias("t"))
+    out = table(spark, sf_dir, "documents").select("doc_id", codecs.vni_convert(F.col("text")).alias("t"))
     return out.select("doc_id", F.md5(F.col("t").cast("binary")).alias("text_md5"), codecs.residue(F.col("t")).cast("long").alias("residue"))
 
 
