@@ -10,11 +10,12 @@ without their sets being fetched; the others are confirmed on their full sets.
 
 Links only have to give the right components, so a bucket's pairs are not all
 made. In a few rounds each node of a bucket with several components tries one
-centre, the closest of those that its buckets draw, and components merge along
-confirmed links. Then, for buckets that still hold several components, each
-member outside the bucket's main component is tried against all members of other
-components. So no pair that shares a band is left out, unless both are in one
-component already.
+centre, the closest of those that its buckets draw and that it has not tried, and
+components merge along confirmed links. Then, for buckets that still hold several
+components, each member outside the bucket's main component is tried against all
+members of other components, in the least of the bands that both share. So no pair
+that shares a band is left out, unless both are in one component already, and none
+is made twice.
 """
 
 from __future__ import annotations
@@ -37,8 +38,8 @@ SAMPLES = BANDS * ROWS
 BITS, MOST = 512, 88
 #: Bits of the odd sketch of the set, and deviations above the expected count that a pair at the threshold may differ by.
 SET_BITS, SIGMAS = 1024, 6
-#: Rounds in which nodes try one centre each.
-ROUNDS = 4
+#: Rounds in which nodes try one centre each, at most; they end before when fewer than one try in PAYS is a link. The last step takes what they leave.
+ROUNDS, PAYS = 8, 20
 PERCENT = 80
 #: Bytes of the words whose hashes a task keeps; documents that are worked on at a time.
 KNOWN_BYTES, PART = 32 << 20, 64
@@ -127,8 +128,8 @@ def _differ(a: str, b: str, first: int, last: int) -> F.Column:
     return total
 
 
-def _alike(a: str, b: str) -> F.Column:
-    """What a pair that may be linked must meet: sizes that allow the similarity, and close sketches.
+def _bits(a: str, b: str) -> tuple[F.Column, F.Column, F.Column]:
+    """In how many bits the samples' sketches differ, in how many those of the sets do, and in how many of these a pair that may be linked can.
 
     Sets at the threshold differ in most = (|A| + |B|) (1 - s) / (1 + s) shingles at most. Their sketches can't differ in
     more bits than that, and hardly in more than expected plus SIGMAS deviations.
@@ -136,9 +137,30 @@ def _alike(a: str, b: str) -> F.Column:
     n = F.col(f"{a}_n") + F.col(f"{b}_n")
     most = F.floor(n * (100 - PERCENT) / (100 + PERCENT))
     usual = SET_BITS / 2 * (1 - F.exp(most * (-2 / SET_BITS))) + SIGMAS * F.sqrt(SET_BITS / 4 * (1 - F.exp(most * (-4 / SET_BITS)))) + 1
-    sizes = 100 * F.least(f"{a}_n", f"{b}_n") >= PERCENT * F.greatest(f"{a}_n", f"{b}_n")
     cut = BITS // 64
-    return sizes & (_differ(f"{a}_sketch", f"{b}_sketch", 0, cut) <= MOST) & (_differ(f"{a}_sketch", f"{b}_sketch", cut, cut + SET_BITS // 64) <= F.least(most, usual))
+    return _differ(f"{a}_sketch", f"{b}_sketch", 0, cut), _differ(f"{a}_sketch", f"{b}_sketch", cut, cut + SET_BITS // 64), F.least(most, usual)
+
+
+def _alike(a: str, b: str) -> F.Column:
+    """What a pair that may be linked must meet: sizes that allow the similarity, and close sketches."""
+    samples, own, most = _bits(a, b)
+    sizes = 100 * F.least(f"{a}_n", f"{b}_n") >= PERCENT * F.greatest(f"{a}_n", f"{b}_n")
+    return sizes & (samples <= MOST) & (own <= most)
+
+
+def _apart(a: str, b: str) -> F.Column:
+    """How far apart a pair is by its sketches, each as a share of what a link allows: that of the sets is the sharper one until it is full."""
+    samples, own, most = _bits(a, b)
+    return samples / MOST + own / F.greatest(most, F.lit(1))
+
+
+def _untried(pairs: DataFrame, tried: list[DataFrame]) -> DataFrame:
+    """The pairs (a, b) that no table of tried has, either way round: a pair that failed fails again."""
+    for tries in tried[:1]:
+        for more in tried[1:]:
+            tries = tries.unionByName(more)
+        pairs = pairs.join(tries.unionByName(tries.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
+    return pairs
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
@@ -181,7 +203,9 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star steps until nothing changes; each is a shuffle of the edges, and each step's
     result is written to the shared folder.
     """
+    marks = lambda df: df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).alias("h")).first()
     now = staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
+    mark = marks(now)
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -189,11 +213,10 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         after = staged(small, "edges")
-        marks = lambda df: df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).alias("h")).first()
-        same = marks(after) == marks(now)
+        before, mark = mark, marks(after)
         dropped(now)
         now = after
-        if same:
+        if mark == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
@@ -214,7 +237,7 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     crowded = staged(slim.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1"), "crowded")
     members = staged(skew_join(slim, crowded, "band", "members", total * BANDS, "inner"), "members")
     ids = staged(members.select("node").distinct(), "ids")
-    facts = nodes.select("node", "n", "sketch")
+    facts = nodes.select("node", "n", "sketch", "bands")
     sets = staged(full_sets(docs, ids, width), "sets")
     joined = staged(ids.select("node", F.col("node").alias("component")), "components")
 
@@ -226,12 +249,12 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
         return staged(joined.join(now, joined["component"] == now["node"], "left").select(joined["node"], F.coalesce("now", "component").alias("component")), "components")
 
     def alike(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that sizes and sketches allow, and z, in how many bits the samples' sketches differ. a may be in any number of pairs, b too."""
+        """The pairs (a, b) that sizes and sketches allow, and z, how far apart the sketches are. a may be in any number of pairs, b too."""
         for x in ("a", "b"):
             some = pairs.groupBy(x).agg(F.count("*").alias("k")).join(facts.withColumnRenamed("node", x), x)
             some = some.select(x, "k", F.col("n").alias(f"{x}_n"), F.col("sketch").alias(f"{x}_sketch"))
             pairs = skew_join(pairs, some, x, "k", total, "inner").drop("k")
-        return pairs.filter(_alike("a", "b")).select("a", "b", _differ("a_sketch", "b_sketch", 0, BITS // 64).alias("z"))
+        return pairs.filter(_alike("a", "b")).select("a", "b", _apart("a", "b").alias("z"))
 
     tried = []
     for turn in range(ROUNDS):
@@ -239,25 +262,31 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
         draw = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("draw"), F.col("node").alias("a"), F.col("component").alias("centre"))).alias("c")
         centres = named.groupBy("band").agg(F.count("*").alias("k"), F.min("component").alias("lo"), F.max("component").alias("hi"), draw).filter("lo < hi").select("band", "k", "c.a", "c.centre")
         pairs = skew_join(named.select("band", "node", "component"), centres, "band", "k", total * BANDS, "inner").filter("component <> centre").select("a", F.col("node").alias("b")).distinct()
-        closest = alike(staged(pairs, "pairs")).groupBy("b").agg(F.min(F.struct("z", "a")).alias("x"))
+        closest = alike(staged(_untried(pairs, tried), "pairs")).groupBy("b").agg(F.min(F.struct("z", "a")).alias("x"))
         tries = staged(closest.select(F.col("x.a").alias("a"), "b"), "tries")
-        if not tries.limit(1).count():
+        number = tries.count()
+        if not number:
             break
         tried.append(tries)
-        joined = merged(staged(confirmed(tries, sets), "links"))
+        links = staged(confirmed(tries, sets), "links")
+        made = links.count()
+        if made:
+            joined = merged(links)
+        if made * PAYS < number:
+            break
     # Then all that is left of buckets with several components.
     named = staged(members.join(sized(joined, 60), "node"), "named")
     kinds = named.groupBy("band", "component").agg(F.count("*").alias("k")).groupBy("band").agg(F.max(F.struct("k", "component"))["component"].alias("main"), F.count("*").alias("kinds"), F.sum("k").alias("k")).filter("kinds > 1")
     mixed = staged(skew_join(named.select("band", "node", "component"), kinds.select("band", "main", "k"), "band", "k", total * BANDS, "inner"), "mixed")
     # Sizes and sketches go along, so that the join itself leaves out what they rule out.
     known = facts.join(sized(staged(mixed.select("node").distinct(), "left"), 40), "node", "left_semi")
-    mixed = mixed.join(sized(staged(known, "facts"), 400), "node")
-    side = lambda df, x, *more: df.select("band", *[F.col(c).alias(f"{x}_{c}") for c in ("n", "sketch", "component")], F.col("node").alias(x), *more)
+    mixed = mixed.join(sized(staged(known, "facts"), 700), "node")
+    side = lambda df, x, *more: df.select("band", *[F.col(c).alias(f"{x}_{c}") for c in ("n", "sketch", "component", "bands")], F.col("node").alias(x), *more)
     outside, others = side(mixed.filter("component <> main"), "a"), side(mixed, "b", (F.col("component") == F.col("main")).alias("b_main"))
     allowed = (F.col("a_component") != F.col("b_component")) & (F.col("b_main") | (F.col("a") < F.col("b"))) & _alike("a", "b")
-    rest = outside.withColumnRenamed("band", "a_band").join(others, (F.col("a_band") == F.col("band")) & allowed).select("a", "b").distinct()
-    for tries in tried:  # a pair that failed fails again
-        rest = rest.join(tries, ["a", "b"], "left_anti").join(tries.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
+    once = F.col("band") == F.array_min(F.array_intersect("a_bands", "b_bands"))
+    rest = outside.withColumnRenamed("band", "a_band").join(others, (F.col("a_band") == F.col("band")) & allowed & once).select("a", "b")
+    rest = _untried(rest, tried)
     rest = staged(rest, "rest")
     if rest.limit(1).count():
         joined = merged(staged(confirmed(rest, sets), "links"))
