@@ -46,3 +46,29 @@ def named(candidates: DataFrame, held: DataFrame) -> DataFrame:
 def replaced(ledger: DataFrame, fresh_rows: DataFrame, mark: str) -> DataFrame:
     """The ledger in which rows whose file begins with mark give way to fresh_rows."""
     return ledger.filter(~F.coalesce(F.col("file").startswith(mark), F.lit(False))).unionByName(fresh_rows)
+
+
+def stem(name) -> F.Column:
+    """A file's name without .doc or .docx at its end; other kinds keep theirs."""
+    return F.regexp_replace(name, r"\.docx?$", "")
+
+
+def ready_stems(rows: DataFrame) -> DataFrame:
+    """document: the stems of the rows (cells) that are ready."""
+    return rows.filter(F.get("cells", F.lit(6)) == "ready").select(stem(F.get("cells", F.lit(0))).alias("document")).distinct()
+
+
+def by_stem(rows: DataFrame) -> DataFrame:
+    """document and cells, the last row of each stem. rows: n, cells."""
+    return rows.groupBy(stem(F.get("cells", F.lit(0))).alias("document")).agg(F.max(F.struct("n", "cells"))["cells"].alias("cells"))
+
+
+def documented(rows: DataFrame, header: list[str]) -> DataFrame:
+    """A map from the header's names to the cells of each row."""
+    n = F.least(F.size("cells"), F.lit(len(header)))
+    return rows.select(F.map_from_arrays(F.slice(F.array(*map(F.lit, header)), F.lit(1), n), F.slice("cells", F.lit(1), n)).alias("row"))
+
+
+def status_counts(ledger: DataFrame) -> DataFrame:
+    """One row: entries, ready and pending."""
+    return ledger.agg(F.count("*").alias("entries"), *[F.count_if(F.col("status") == k).alias(k) for k in ("ready", "pending")])

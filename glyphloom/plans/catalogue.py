@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from glyphloom.functions import codecs, screening
 from glyphloom.functions import text as T
-from glyphloom.operators import alignment, mixed, provenance, structure
+from glyphloom.operators import alignment, mixed, parsing, provenance, runs, structure, synthetic
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -244,3 +244,111 @@ SELECT urlkey, page_id FROM f WHERE urlkey NOT IN (SELECT urlkey FROM k WHERE pa
 def dedupe_candidates(spark, sf_dir):
     keyed = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace(F.regexp_replace("url", "^https?://", ""), "[?#].*$", "").alias("urlkey"))
     return provenance.fresh(keyed, keyed.filter("page_id % 11 = 0"), "urlkey", "page_id")
+
+
+@query("SELECT doc_id AS document, lang FROM documents WHERE doc_id % 10 = 3")
+def score_failures(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return alignment.failures(docs.select(F.col("doc_id").alias("document"), "lang"), predictions(docs).withColumnRenamed("doc_id", "document"))
+
+
+def _toy(text):
+    """Stands for a parser: gives the lines as chunks, and fails on one text in seven by its length."""
+    if len(text) % 7 == 0:
+        raise ValueError("seven")
+    return text, text.split("\n")
+
+
+@query("SELECT doc_id AS document, CASE WHEN length(text) % 7 <> 0 THEN md5(text) END AS text_md5, CASE WHEN length(text) % 7 <> 0 THEN len(string_split(text, chr(10))) END AS n_chunks, CASE WHEN length(text) % 7 = 0 THEN 'ValueError: seven' END AS error FROM documents")
+def parser_driver(spark, sf_dir):
+    out = parsing.parsed(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document"), F.col("text").alias("content")), _toy)
+    return out.select("document", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.when(F.col("error").isNull(), F.size("chunks")).cast("long").alias("n_chunks"), "error")
+
+
+def _structured(spark, sf_dir):
+    """Conversations as documents read in turns; every seventh isn't read. Their labels 0 and 1 stand for a table's rows, 0 for its header."""
+    c = _labelled(spark, sf_dir).withColumnRenamed("conv_id", "document")
+    manifest = c.select("document", F.col("n").cast("int").alias("paragraphs"), F.array(F.lit("Đầu")).alias("headings"), F.expr("array(array('số 0.'), array('số 0.'), array('số', '1.'))").alias("table"))
+    text = F.concat(F.when(F.col("document") % 2 == 0, "# Đầu\n").otherwise(""), "text")
+    return c.filter("document % 7 <> 3").select("document", text.alias("text"), F.split("text", "\n").alias("chunks")), manifest
+
+
+_STRUCTURE = f"""SELECT conv_id AS document, CASE WHEN len(l) < 2 THEN 1.0 ELSE round(len(list_filter(range(1, len(l)), lambda i: l[i + 1] > l[i])) / (len(l) - 1), 4) END AS "order", round(len(list_distinct(l)) / n, 4) AS completeness,
+CASE WHEN conv_id % 2 = 0 THEN 1.0 ELSE 0.0 END AS headings, (CAST(list_contains(l, 0) AS INT) + CAST(list_contains(l, 1) AS INT)) / 2 AS rows_recovered,
+len(list_filter(l, lambda x: x < 2)) AS chunks_with_rows, len(list_filter(l, lambda x: x = 1)) AS chunks_missing_header, NOT list_contains(l, 1) AS header_always_present FROM ({_TURNS}) WHERE conv_id % 7 <> 3"""
+
+
+@query(_STRUCTURE)
+def structure_documents(spark, sf_dir):
+    out = structure.document_scores(*_structured(spark, sf_dir)).drop("headings_missing", "labels_read")
+    return out.withColumns({c: F.col(c).cast("long") for c in ("chunks_with_rows", "chunks_missing_header")})
+
+
+@query(f'SELECT count(*) AS n_documents, coalesce(round(avg("order"), 4), 0.0) AS "order", coalesce(round(avg(completeness), 4), 0.0) AS completeness, coalesce(round(avg(headings), 4), 0.0) AS headings, count(*) FILTER (NOT header_always_present) AS documents_with_orphaned_table_rows FROM ({_STRUCTURE})')
+def structure_means(spark, sf_dir):
+    return structure.means(structure.document_scores(*_structured(spark, sf_dir)))
+
+
+@query("SELECT DISTINCT conv_id AS document FROM conversations WHERE conv_id % 7 = 3")
+def structure_not_scored(spark, sf_dir):
+    read, manifest = _structured(spark, sf_dir)
+    return structure.not_scored(manifest, read)
+
+
+_VERDICTS = """SELECT document, CASE WHEN c < 40 AND i >= 0.6 THEN 'scan' WHEN c >= 40 AND i < 0.6 THEN 'digital' ELSE 'mixed' END AS kind, pages, round(c, 1) AS chars_per_page, round(i, 2) AS image_pages, pages > 12 AS sampled FROM (
+SELECT conv_id AS document, count(*) AS pages, avg(length(coalesce(text, '')) % 90) FILTER (turn - first < 12) AS c, avg(CASE WHEN (conv_id + turn) % 3 > 0 THEN 1.0 ELSE 0.0 END) FILTER (turn - first < 12) AS i
+FROM (SELECT *, min(turn) OVER (PARTITION BY conv_id) AS first FROM conversations) GROUP BY conv_id)"""
+
+
+def _verdicts(spark, sf_dir):
+    """Conversations as scanned documents, a page a turn."""
+    c = table(spark, sf_dir, "conversations")
+    first = c.groupBy("conv_id").agg(F.min("turn").alias("first"))
+    return runs.verdicts(c.join(first, "conv_id").select(F.col("conv_id").alias("document"), (F.col("turn") - F.col("first")).alias("page_no"), (F.length(F.coalesce("text", F.lit(""))) % 90).alias("chars"), ((F.col("conv_id") + F.col("turn")) % 3).alias("images")))
+
+
+@query(_VERDICTS)
+def scan_verdicts(spark, sf_dir):
+    return _verdicts(spark, sf_dir)
+
+
+@query(f"SELECT kind, count(*) AS n FROM ({_VERDICTS}) GROUP BY kind")
+def verdict_counts(spark, sf_dir):
+    return runs.counts(_verdicts(spark, sf_dir), "kind")
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (page_id % 9 = 4) AS throttled, count(*) FILTER (page_id % 9 = 4) / count(*) AS throttled_share, count(*) FILTER (page_id % 9 = 5) AS unfetched, count(*) FILTER (page_id % 9 = 5) / count(*) AS unfetched_share FROM pages")
+def fetch_shares(spark, sf_dir):
+    kind = F.when(F.col("page_id") % 9 == 4, "throttled").when(F.col("page_id") % 9 == 5, "unfetched").otherwise("scan")
+    return runs.shares(table(spark, sf_dir, "pages").select(kind.alias("kind")))
+
+
+@query(f"SELECT source, count(*) FILTER (doc_id % 8 <> 1) AS checked, count(*) FILTER (doc_id % 8 = 1) AS failed, count(*) FILTER (doc_id % 8 <> 1 AND {_FAMILY} IS NOT NULL) AS hits, count(*) FILTER (doc_id % 8 <> 1 AND {_FAMILY} IS NOT NULL) / nullif(count(*) FILTER (doc_id % 8 <> 1), 0) AS yield FROM documents GROUP BY source")
+def screening_yield(spark, sf_dir):
+    return runs.yields(table(spark, sf_dir, "documents").select("source", (F.col("doc_id") % 8 != 1).alias("fetched"), screening.text_family(F.col("text")).alias("encoding")), "source")
+
+
+@query("SELECT count(*) AS entries, count(*) FILTER (doc_id % 4 = 0) AS ready, count(*) FILTER (doc_id % 4 = 1) AS pending FROM documents")
+def provenance_counts(spark, sf_dir):
+    status = F.when(F.col("doc_id") % 4 == 0, "ready").when(F.col("doc_id") % 4 == 1, "pending").otherwise("rejected")
+    return provenance.status_counts(table(spark, sf_dir, "documents").select(status.alias("status")))
+
+
+# Lines of transcripts as VNI: the first 120 that aren't blank, the first letter that VNI can't write, and whether the line comes back.
+_VNI_LINES = f"""SELECT document, unnest(range(len(l))) AS line_no, unnest(l) AS text FROM (SELECT doc_id AS document, list_filter(string_split(nfc_normalize(text), chr(10)), lambda x: {_SQUEEZE('x')} <> '')[1:{synthetic.LINES}] AS l FROM documents)"""
+_VNI_KEPT = rf"""SELECT *, nullif(regexp_extract(translate(text, {quoted(''.join(codecs.VNI_ENCODE))}, ''), '[^\P{{L}}\x00-\x7f]'), '') AS gap, nfc_normalize({_VNI('surface')}) = text AS same FROM (SELECT *, {_VNI_OUT} AS surface FROM ({_VNI_LINES}))"""
+
+
+def _vni_lines(spark, sf_dir):
+    return synthetic.vni_lines(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document"), T.nfc(F.col("text")).alias("text")))
+
+
+@query(f"SELECT document, md5(string_agg(surface, chr(10) ORDER BY line_no)) AS surface_md5, md5(string_agg(text, chr(10) ORDER BY line_no) || chr(10)) AS truth_md5 FROM ({_VNI_KEPT}) WHERE gap IS NULL AND same GROUP BY document")
+def synthetic_vni(spark, sf_dir):
+    digest = lambda c: F.md5(F.col(c).cast("binary")).alias(f"{c}_md5")
+    return synthetic.vni_corpus(_vni_lines(spark, sf_dir)).select("document", digest("surface"), digest("truth"))
+
+
+@query(f"SELECT gap AS letter, count(*) AS n FROM ({_VNI_KEPT}) WHERE NOT (gap IS NULL AND same) GROUP BY gap")
+def synthetic_dropped(spark, sf_dir):
+    return synthetic.dropped(_vni_lines(spark, sf_dir))

@@ -38,3 +38,12 @@ def containers(spark: SparkSession, folder: str, suffixes: str = "*.{rtf,doc,xls
     """path and content of binary files; those over `most` bytes (0: no limit) are left out before any content is read."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", suffixes).option("recursiveFileLookup", "true").load(folder)
     return (raw.filter(F.col("length") <= most) if most else raw).select("path", "content")
+
+
+MANIFEST = "map<string, struct<paragraphs:int, headings:array<string>, table:array<array<string>>>>"
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """document, paragraphs, headings and table of each entry of a structure manifest (a JSON object by file)."""
+    raw = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", MANIFEST)).alias("document", "spec"))
+    return raw.select("document", "spec.*")
