@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes that a broadcast side may have at most, by its rows and the width that its caller states; above it the same join shuffles.
@@ -45,12 +45,13 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: lineage ends, lost executors don't matter."""
+    """df written to the shared folder and read again: lineage ends, lost executors don't matter. Its number of rows, rows, is counted as it is written."""
     spark = df.sparkSession
     path = f"{_home(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    written = Observation()
+    df.observe(written, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out.staged_at = path
+    out.staged_at, out.rows = path, written.get["n"]
     return out
 
 
@@ -95,9 +96,8 @@ def lowered(text) -> F.Column:
 
 
 def sized(df: DataFrame, row_bytes: int) -> DataFrame:
-    """df, to be broadcast if its rows, of row_bytes each at most, fit in BROADCAST_BYTES; else as it is. df must be staged."""
-    most = BROADCAST_BYTES // row_bytes
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    """df, which staged() made, to be broadcast if its rows, of row_bytes each at most, fit in BROADCAST_BYTES; else as it is."""
+    return F.broadcast(df) if df.rows <= BROADCAST_BYTES // row_bytes else df
 
 
 def skew_join(left: DataFrame, right: DataFrame, key: str, n: str, total: int, how: str = "left") -> DataFrame:

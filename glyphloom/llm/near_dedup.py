@@ -229,7 +229,7 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     signed = staged(signatures(docs, width), "signatures")
-    total = signed.count()
+    total = signed.rows
     # Nodes: distinct sets, named by their smallest doc_id. All rows of a set have the same bands and sketch.
     firsts = [F.first(c).alias(c) for c in ("n", "bands", "sketch")]
     nodes = staged(signed.filter("n > 0").groupBy("own").agg(F.min("doc_id").alias("node"), F.count("*").alias("times"), *firsts), "nodes")
@@ -264,15 +264,13 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
         pairs = skew_join(named.select("band", "node", "component"), centres, "band", "k", total * BANDS, "inner").filter("component <> centre").select("a", F.col("node").alias("b")).distinct()
         closest = alike(staged(_untried(pairs, tried), "pairs")).groupBy("b").agg(F.min(F.struct("z", "a")).alias("x"))
         tries = staged(closest.select(F.col("x.a").alias("a"), "b"), "tries")
-        number = tries.count()
-        if not number:
+        if not tries.rows:
             break
         tried.append(tries)
         links = staged(confirmed(tries, sets), "links")
-        made = links.count()
-        if made:
+        if links.rows:
             joined = merged(links)
-        if made * PAYS < number:
+        if links.rows * PAYS < tries.rows:
             break
     # Then all that is left of buckets with several components.
     named = staged(members.join(sized(joined, 60), "node"), "named")
@@ -288,7 +286,7 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     rest = outside.withColumnRenamed("band", "a_band").join(others, (F.col("a_band") == F.col("band")) & allowed & once).select("a", "b")
     rest = _untried(rest, tried)
     rest = staged(rest, "rest")
-    if rest.limit(1).count():
+    if rest.rows:
         joined = merged(staged(confirmed(rest, sets), "links"))
     classes = nodes.join(joined, "node", "left").select("own", "times", F.coalesce("component", "node").alias("component"))
     out = skew_join(signed.select("doc_id", "n", "own"), classes, "own", "times", total)
