@@ -218,6 +218,8 @@ def encoded(docs: DataFrame, codec: Codec, *keep: str, ids: bool = True, order:
     small_batches(spark)
     if spark.conf.get("spark.sql.maxPlanStringLength").startswith("2147483632"):  # unset: plans hold the tables; their descriptions needn't
         spark.conf.set("spark.sql.maxPlanStringLength", "8192")
+    if spark.conf.get("spark.sql.debug.maxToStringFields") == "25":  # unset: each description of a plan would write the tables out, and its parts anew at every level
+        spark.conf.set("spark.sql.debug.maxToStringFields", "1")
     text = F.coalesce("text", F.lit("")).alias("text")
     spark._jvm.System.gc()  # the driver gives back what earlier work has left, before the tables are made, and again after their first use
     known, stream = frequent(docs.select(text), codec), pa.BufferOutputStream()
