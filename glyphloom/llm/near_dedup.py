@@ -258,6 +258,7 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
 
     tried = []
     for turn in range(ROUNDS):
+        docs.sparkSession._jvm.System.gc()  # the driver gives back what the plans before have left
         named = members.join(sized(joined, 60), "node")
         draw = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("draw"), F.col("node").alias("a"), F.col("component").alias("centre"))).alias("c")
         centres = named.groupBy("band").agg(F.count("*").alias("k"), F.min("component").alias("lo"), F.max("component").alias("hi"), draw).filter("lo < hi").select("band", "k", "c.a", "c.centre")
