@@ -24,11 +24,12 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphloom.llm.common import dropped, rowed, sized, skew_join, small_batches, staged, table
+from glyphloom.llm.common import BROADCAST_BYTES, dropped, rowed, sized, skew_join, small_batches, staged, staged_skew_join, table
 
 #: A pair of similarity 0.8 shares no band with a chance of (1 - 0.8**4)**28 = 4e-7.
 BANDS, ROWS = 28, 4
@@ -38,8 +39,11 @@ SAMPLES = BANDS * ROWS
 BITS, MOST = 512, 88
 #: Bits of the odd sketch of the set, and deviations above the expected count that a pair at the threshold may differ by.
 SET_BITS, SIGMAS = 1024, 6
-#: Rounds in which nodes try one centre each, at most; they end before when fewer than one try in PAYS is a link. The last step takes what they leave.
-ROUNDS, PAYS = 8, 20
+#: Rounds in which nodes try one centre each, at most; they end before when fewer than one try in PAYS, or links for fewer than one node in GAIN,
+#: are found. The last step takes what they leave.
+ROUNDS, PAYS, GAIN = 8, 20, 100
+#: Edges that the driver joins to components itself, in 16 bytes each; more than that are joined in shuffles, each step of which costs the driver plans and jobs.
+HERE = 1 << 17
 PERCENT = 80
 #: Bytes of the words whose hashes a task keeps; documents that are worked on at a time.
 KNOWN_BYTES, PART = 32 << 20, 64
@@ -176,7 +180,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b: nodes) whose full sets meet the threshold. A centre a may have any number of pairs; b has few."""
+    """The pairs (staged; a, b: nodes, each pair once) whose full sets meet the threshold. A centre a may have any number of pairs; b has few."""
 
     def links(batches):
         for pdf in _parts(batches):
@@ -190,19 +194,38 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     # A centre's set goes to as many parts as its pairs need: each part has 200 pairs or so.
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / 200).cast("int").alias("parts"))
     left = sets.withColumnRenamed("node", "a").join(parts, "a").select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("s").alias("sa"))
-    # The parts of a hot centre are found by broadcast: those with over one part.
-    many = staged(parts.filter("parts > 1"), "parts")
-    spread = pairs.join(sized(many, 60), "a", "left").withColumn("part", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    # The parts of a hot centre are found by broadcast: those with over one part, which are one for 200 pairs at most.
+    many = parts.filter("parts > 1")
+    spread = pairs.join(F.broadcast(many) if pairs.rows // 200 <= BROADCAST_BYTES // 60 else many, "a", "left")
+    spread = spread.withColumn("part", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
     both = spread.join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b").join(left, ["a", "part"])
-    return both.select("a", "b", "sa", "sb").mapInPandas(links, "a long, b long").distinct()
+    return both.select("a", "b", "sa", "sb").mapInPandas(links, "a long, b long")
+
+
+def _least(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the edges (a, b) and the smallest node that each reaches."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, least = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while True:
+        before = least.copy()
+        low = np.minimum(before[x], before[y])
+        for ends in (x, y, before[x], before[y]):
+            np.minimum.at(least, ends, low)
+        least = least[least]
+        if (least == before).all():
+            return nodes, nodes[least]
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and component (the smallest node that it reaches) of every node with an edge (a, b).
+    """node and component (the smallest node that it reaches) of every node with an edge (staged; a, b).
 
-    Alternating large-star and small-star steps until nothing changes; each is a shuffle of the edges, and each step's
+    Up to HERE edges come to the driver. More go through alternating large-star and small-star steps until nothing changes; each is a shuffle of the edges, and each step's
     result is written to the shared folder.
     """
+    if edges.rows <= HERE:
+        got = edges.select("a", "b").toArrow()
+        node, component = _least(*(got[x].to_numpy() for x in ("a", "b")))
+        return edges.sparkSession.createDataFrame(pa.table({"node": node, "component": component}))
     marks = lambda df: df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).alias("h")).first()
     now = staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
     mark = marks(now)
@@ -234,63 +257,79 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     firsts = [F.first(c).alias(c) for c in ("n", "bands", "sketch")]
     nodes = staged(signed.filter("n > 0").groupBy("own").agg(F.min("doc_id").alias("node"), F.count("*").alias("times"), *firsts), "nodes")
     slim = nodes.filter(F.col("node").isNotNull()).select("node", F.explode("bands").alias("band"))
-    crowded = staged(slim.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1"), "crowded")
-    members = staged(skew_join(slim, crowded, "band", "members", total * BANDS, "inner"), "members")
+    crowded = staged(slim.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1"), "crowded", "members")
+    members = staged(staged_skew_join(slim, crowded, "band", "members", total * BANDS, "inner").select("node", "band"), "members")
     ids = staged(members.select("node").distinct(), "ids")
-    facts = nodes.select("node", "n", "sketch", "bands")
+    facts = staged(nodes.select("node", "n", "sketch", "bands").join(sized(ids, 40), "node", "left_semi"), "facts")
     sets = staged(full_sets(docs, ids, width), "sets")
     joined = staged(ids.select("node", F.col("node").alias("component")), "components")
 
-    def merged(links: DataFrame) -> DataFrame:
-        """The components after these links between nodes."""
+    def linked(pairs: DataFrame) -> DataFrame:
+        """The components (a, b) of the ends of the pairs that are links."""
         of = sized(joined, 60)
-        ends = links.join(of.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a").join(of.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b")
-        now = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()).withColumnRenamed("component", "now")
-        return staged(joined.join(now, joined["component"] == now["node"], "left").select(joined["node"], F.coalesce("now", "component").alias("component")), "components")
+        ends = confirmed(pairs, sets).join(of.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a").join(of.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b")
+        return staged(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")), "links")
+
+    def merged(links: DataFrame) -> DataFrame:
+        """The components after these links between components."""
+        now = components(links).select(F.col("node").alias("was"), F.col("component").alias("now"))
+        now = F.broadcast(now) if links.rows <= HERE else now
+        return staged(joined.join(now, joined["component"] == now["was"], "left").select(joined["node"], F.coalesce("now", "component").alias("component")), "components")
 
     def alike(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that sizes and sketches allow, and z, how far apart the sketches are. a may be in any number of pairs, b too."""
+        small = facts.rows <= BROADCAST_BYTES // 400
+        pairs = pairs if small else staged(pairs, "pairs")
         for x in ("a", "b"):
-            some = pairs.groupBy(x).agg(F.count("*").alias("k")).join(facts.withColumnRenamed("node", x), x)
-            some = some.select(x, "k", F.col("n").alias(f"{x}_n"), F.col("sketch").alias(f"{x}_sketch"))
-            pairs = skew_join(pairs, some, x, "k", total, "inner").drop("k")
+            some = facts.select("node", "n", "sketch")
+            if small:  # named after the join, so that one broadcast serves both
+                pairs = pairs.join(F.broadcast(some), F.col(x) == F.col("node")).drop("node")
+            else:
+                some = pairs.groupBy(x).agg(F.count("*").alias("k")).join(some.withColumnRenamed("node", x), x)
+                pairs = skew_join(pairs, some, x, "k", total, "inner").drop("k")
+            pairs = pairs.withColumnsRenamed({"n": f"{x}_n", "sketch": f"{x}_sketch"})
         return pairs.filter(_alike("a", "b")).select("a", "b", _apart("a", "b").alias("z"))
 
     tried = []
     for turn in range(ROUNDS):
         docs.sparkSession._jvm.System.gc()  # the driver gives back what the plans before have left
-        named = members.join(sized(joined, 60), "node")
+        named = members.join(sized(joined, 60), "node").select("band", "node", "component")
         draw = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("draw"), F.col("node").alias("a"), F.col("component").alias("centre"))).alias("c")
         centres = named.groupBy("band").agg(F.count("*").alias("k"), F.min("component").alias("lo"), F.max("component").alias("hi"), draw).filter("lo < hi").select("band", "k", "c.a", "c.centre")
-        pairs = skew_join(named.select("band", "node", "component"), centres, "band", "k", total * BANDS, "inner").filter("component <> centre").select("a", F.col("node").alias("b")).distinct()
-        closest = alike(staged(_untried(pairs, tried), "pairs")).groupBy("b").agg(F.min(F.struct("z", "a")).alias("x"))
+        centres = staged(centres, "centres", "k")
+        if not centres.rows:
+            break
+        pairs = staged_skew_join(named, centres, "band", "k", total * BANDS, "inner").filter("component <> centre").select("a", F.col("node").alias("b")).distinct()
+        closest = alike(_untried(pairs, tried)).groupBy("b").agg(F.min(F.struct("z", "a")).alias("x"))
         tries = staged(closest.select(F.col("x.a").alias("a"), "b"), "tries")
         if not tries.rows:
             break
         tried.append(tries)
-        links = staged(confirmed(tries, sets), "links")
+        links = linked(tries)
         if links.rows:
             joined = merged(links)
-        if links.rows * PAYS < tries.rows:
+        if links.rows * PAYS < tries.rows or links.rows * GAIN < ids.rows:
             break
     # Then all that is left of buckets with several components.
-    named = staged(members.join(sized(joined, 60), "node"), "named")
+    named = members.join(sized(joined, 60), "node").select("band", "node", "component")
     kinds = named.groupBy("band", "component").agg(F.count("*").alias("k")).groupBy("band").agg(F.max(F.struct("k", "component"))["component"].alias("main"), F.count("*").alias("kinds"), F.sum("k").alias("k")).filter("kinds > 1")
-    mixed = staged(skew_join(named.select("band", "node", "component"), kinds.select("band", "main", "k"), "band", "k", total * BANDS, "inner"), "mixed")
-    # Sizes and sketches go along, so that the join itself leaves out what they rule out.
-    known = facts.join(sized(staged(mixed.select("node").distinct(), "left"), 40), "node", "left_semi")
-    mixed = mixed.join(sized(staged(known, "facts"), 700), "node")
-    side = lambda df, x, *more: df.select("band", *[F.col(c).alias(f"{x}_{c}") for c in ("n", "sketch", "component", "bands")], F.col("node").alias(x), *more)
-    outside, others = side(mixed.filter("component <> main"), "a"), side(mixed, "b", (F.col("component") == F.col("main")).alias("b_main"))
-    allowed = (F.col("a_component") != F.col("b_component")) & (F.col("b_main") | (F.col("a") < F.col("b"))) & _alike("a", "b")
-    once = F.col("band") == F.array_min(F.array_intersect("a_bands", "b_bands"))
-    rest = outside.withColumnRenamed("band", "a_band").join(others, (F.col("a_band") == F.col("band")) & allowed & once).select("a", "b")
-    rest = _untried(rest, tried)
-    rest = staged(rest, "rest")
-    if rest.rows:
-        joined = merged(staged(confirmed(rest, sets), "links"))
-    classes = nodes.join(joined, "node", "left").select("own", "times", F.coalesce("component", "node").alias("component"))
-    out = skew_join(signed.select("doc_id", "n", "own"), classes, "own", "times", total)
+    kinds = staged(kinds.select("band", "main", "k"), "kinds", "k")
+    if kinds.rows:
+        docs.sparkSession._jvm.System.gc()
+        # Sizes and sketches go along, so that the join itself leaves out what they rule out.
+        mixed = staged_skew_join(named, kinds, "band", "k", total * BANDS, "inner").select("band", "node", "component", "main")
+        mixed = staged(mixed, "mixed").join(sized(facts, 700), "node")
+        side = lambda df, x, *more: df.select("band", *[F.col(c).alias(f"{x}_{c}") for c in ("n", "sketch", "component", "bands")], F.col("node").alias(x), *more)
+        outside, others = side(mixed.filter("component <> main"), "a"), side(mixed, "b", (F.col("component") == F.col("main")).alias("b_main"))
+        allowed = (F.col("a_component") != F.col("b_component")) & (F.col("b_main") | (F.col("a") < F.col("b"))) & _alike("a", "b")
+        once = F.col("band") == F.array_min(F.array_intersect("a_bands", "b_bands"))
+        rest = outside.withColumnRenamed("band", "a_band").join(others, (F.col("a_band") == F.col("band")) & allowed & once).select("a", "b")
+        rest = staged(_untried(rest, tried), "rest")
+        links = linked(rest) if rest.rows else rest
+        if links.rows:
+            joined = merged(links)
+    classes = nodes.join(sized(joined, 60), "node", "left").select("own", "times", F.coalesce("component", "node").alias("component"))
+    out = staged_skew_join(signed.select("doc_id", "n", "own"), staged(classes, "classes", "times"), "own", "times", total)
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from glyphloom.llm import bpe, exact_dedup, html_extract, license_scan, mixing, near_dedup, pii, quality_classifier, quality_rules, secret_scan
+from glyphloom.llm import bpe, common, exact_dedup, html_extract, license_scan, mixing, near_dedup, pii, quality_classifier, quality_rules, secret_scan
 from glyphloom.llm.common import shared_dir
 
 SF = "/root/testdata/sf0.001"
@@ -147,6 +147,46 @@ def test_near_dedup_hard(hard):
     assert near_dedup.deduplicated(hard).columns == hard.columns
 
 
+def chains(groups, links, seed):
+    """Texts of which each differs from the one before it in two or three of 60 words: the ends of a chain aren't linked."""
+    rng, texts = np.random.default_rng(seed), []
+    for _ in range(groups):
+        t = [f"w{int(x)}" for x in rng.integers(0, 500, 60)]
+        for _ in range(links):
+            texts.append(" ".join(t))
+            for p in rng.integers(0, 60, int(rng.integers(2, 4))):
+                t[p] = f"z{int(rng.integers(0, 500))}"
+    return texts
+
+
+def test_near_dedup_jobs(spark):
+    """Each job and its plans stay in the driver's memory: components of few links need no shuffles, and joins without hot keys no broadcasts for them."""
+    texts, started = chains(8, 12, 2), spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs
+    df, before = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), started()
+    got = rows(near_dedup.near_duplicates(df, 2), "doc_id", "n_shingles", "component_id", "kept")
+    assert got == sorted(brute_components(texts, 2), key=repr)
+    assert started() - before <= 120
+
+
+def test_near_dedup_large(spark, monkeypatch):
+    """The ways of large tables, without broadcasts, with hot keys and with components by shuffles, give the same."""
+    texts = chains(5, 8, 3) + ["a b c"] * 4
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for at, name, value in ((common, "BROADCAST_BYTES", 0), (near_dedup, "BROADCAST_BYTES", 0), (common, "HOT_ROWS", 1), (near_dedup, "HERE", 0), (near_dedup, "ROUNDS", 2)):
+        monkeypatch.setattr(at, name, value)
+    assert rows(near_dedup.near_duplicates(df, 2), "doc_id", "n_shingles", "component_id", "kept") == sorted(brute_components(texts, 2), key=repr)
+
+
+def test_least():
+    rng = np.random.default_rng(4)
+    a, b = rng.integers(0, 300, 200), rng.integers(0, 300, 200)
+    want = {int(x): int(x) for x in np.concatenate([a, b])}
+    for _ in range(300):
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            want[x] = want[y] = min(want[x], want[y])
+    assert dict(zip(*(x.tolist() for x in near_dedup._least(a, b)), strict=True)) == want
+
+
 def test_mixing():
     assert sum(mixing.weights({"a": 10_000, "b": 1}).values()) == mixing.SLOTS and mixing.weights({}) == {}
     many = {f"s{i}": 1 + i % 7 for i in range(2_000)}
