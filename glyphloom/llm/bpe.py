@@ -7,21 +7,23 @@ library does. The rank map is a literal of the plan: a sparse matrix packed in
 two arrays, so that a look-up is two array reads. It maps a pair of tokens to the
 rank of their joined bytes.
 
-Distinct words are counted over all documents, and the frequent ones (at most
-WORDS of them, of at most WORD_BYTES bytes each) are folded once. That table is
-broadcast; a pass over the texts looks each word up, so a text becomes the ids of
-its known stretches and the words between them, and those words alone are folded
-where they stand. Which words are in the table changes no result. No text is
-shuffled. Decoding concatenates the byte pieces of the ids, of known stretches and
+Distinct words are counted over a share of the documents (SHARE), and the frequent
+ones (at most WORDS of them, of at most WORD_BYTES bytes each) are folded once.
+That table is broadcast; a pass over all texts looks each word up, so a text becomes
+the ids of its known stretches and the words between them, and those words alone are
+folded where they stand. Which words are in the table changes no result, only where
+they are folded. No text is shuffled. Decoding concatenates the byte pieces of the ids, of known stretches and
 of folded words alike.
 """
 
 from __future__ import annotations
 
 import base64
+import functools
 import json
+import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +33,10 @@ from pyspark.sql import functions as F
 
 from glyphloom.llm.common import small_batches, table
 
-#: Words that the broadcast table has at most, their length at most, and times that one occurs at least: a bound of about 200 MB in a Python worker.
-WORDS, WORD_BYTES, WORTH = 1 << 20, 48, 4
+#: Words that the broadcast table has at most, their length at most, and times that one occurs in the counted documents at least: a bound of about 200 MB in a Python worker.
+WORDS, WORD_BYTES, WORTH = 1 << 20, 48, 2
+#: The share of documents, drawn by this seed, whose words are counted for the table. Every document is encoded in full.
+SHARE, SEED = 0.25, 8
 #: What stands for no rank; the token that stands before and after each word; counts in one octave of the histogram of counts.
 NONE, EDGE, STEPS = 1 << 17, 65_535, 32
 #: Rows that Python works on at a time.
@@ -53,6 +57,35 @@ def java_pattern(pattern: str) -> str:
     return pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]")
 
 
+@functools.cache
+def splitter(pattern: str) -> Callable[[str], list[str]]:
+    """What finds all matches of the pattern in a text, made once in a worker.
+
+    Python's own engine takes less than half the time of regex, but lacks the classes of Unicode. They are written out as regex
+    defines them, up to U+FFFF; texts with characters beyond, and patterns with anything else that differs, are left to regex.
+    """
+    import regex
+
+    whole = regex.compile(pattern).findall
+    if "{" in pattern.replace(r"\p{", "") or "[:" in pattern:
+        return whole
+    plane = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)]))
+    ranges = lambda kind: "".join(f"\\u{ord(x[0]):04x}-\\u{ord(x[-1]):04x}" for x in regex.findall(f"{kind}+", plane))
+    parts, inside = [], False
+    for x in re.findall(r"\\p\{\w+\}|\\.|\(\?.|.", pattern, re.DOTALL):
+        if x in (r"\p{L}", r"\p{N}", r"\s"):
+            parts.append(ranges(x) if inside else f"[{ranges(x)}]")
+        elif x == r"\S" and not inside:
+            parts.append(f"[^{ranges(chr(92) + 's')}]")
+        elif x[0] == "\\" or x[:2] == "(?" and x not in ("(?!", "(?=", "(?:"):
+            return whole
+        else:
+            inside = x == "[" or inside and x != "]"
+            parts.append(x)
+    plain = re.compile("".join(parts)).findall
+    return lambda text: plain(text) if text.isascii() or len(text.encode("utf-16-le")) == 2 * len(text) else whole(text)
+
+
 def pair_table(vocab: dict[bytes, int]) -> tuple[list[int], list[int]]:
     """The map from pairs of tokens to the rank of their joined bytes, as a sparse matrix whose rows lie over each other.
 
@@ -95,6 +128,11 @@ def _array(kind: str, values: list) -> Column:
     return F.from_json(F.lit(json.dumps(values, separators=(",", ":"), ensure_ascii=False)), f"array<{kind}>")
 
 
+def _strings(values: Iterable[bytes]) -> Column:
+    """An array of bytes as a literal, each as a string that holds them as they are, UTF-8 or not: Spark joins such without a look at them."""
+    return _array("binary", [base64.b64encode(v).decode() for v in values]).cast("array<string>")
+
+
 def _let(value: Column, body) -> Column:
     """body of value, which is made once: the end of an aggregate over nothing. Its type is that of value, so no type is worked out anew for each word."""
     return F.aggregate(F.array().cast("array<int>"), value, lambda a, _: a, body)
@@ -112,24 +150,25 @@ class Codec:
             self.pieces[rank] = token
         offset, entries = pair_table(vocab)
         self._offset, self._entries = _array("int", offset), _array("bigint", entries)
-        self._pieces = _array("string", [p.decode("latin-1") for p in self.pieces])
-        self._first = _array("int", [vocab[bytes([b])] for b in range(256)])
-        self._pairs = _array("int", [vocab.get(bytes([a, b]), -1) + 1 for a in range(256) for b in range(256)])
+        self._pieces, self._packed = _strings(self.pieces), _strings(i.to_bytes(4, "little") for i in range(len(self.pieces)))
+        first = [vocab[bytes([b])] for b in range(256)]
+        # By two bytes, and after those by the last byte of a word: the pair of both, at byte 0.
+        self._begin = _array("bigint", [vocab.get(bytes([a, b]), NONE) << RANK_AT | first[a] for a in range(256) for b in range(256)] + [NONE << RANK_AT | x for x in first])
 
     def fold(self, word: Column) -> Column:
         """The token ids of one non-empty word."""
         byte = F.transform(F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), ""), lambda c: F.ascii(c))
+        paired = lambda b: F.transform(b, lambda x, i: F.coalesce(F.shiftleft(x, 8).bitwiseOR(F.get(b, i + 1)), x + (1 << 16)))
+        return self.fold_paired(_let(byte, paired))
+
+    def fold_paired(self, code: Column) -> Column:
+        """The token ids of one non-empty word, of which code has each byte with the next one: 256 * byte + next; for the last, 65,536 + byte."""
         high = lambda rank: F.shiftleft(rank, RANK_AT)
         token = lambda x: x.bitwiseAND(F.lit(EDGE))
         wall = F.array(F.lit(NONE << RANK_AT | EDGE))
 
         def begin(b: Column) -> Column:
-            def one(x: Column, i: Column) -> Column:
-                known = F.get(self._pairs, x * 256 + F.get(b, i + 1))  # one more than the rank
-                rank = F.when(known > 0, known.cast("bigint") - 1).otherwise(F.lit(NONE).cast("bigint"))
-                return high(rank).bitwiseOR(F.shiftleft(i.cast("bigint"), FIRST_AT)).bitwiseOR(F.get(self._first, x).cast("bigint"))
-
-            return F.concat(wall, F.transform(b, one), wall)
+            return F.concat(wall, F.transform(b, lambda x, i: F.get(self._begin, x).bitwiseOR(F.shiftleft(i.cast("bigint"), FIRST_AT))), wall)
 
         def ranked(x: Column, right: Column) -> Column:
             """x, a pair without its rank, with it. An entry of another row keeps higher bits: it counts as no rank."""
@@ -137,9 +176,9 @@ class Codec:
             rank = F.get(self._entries, F.get(self._offset, left.cast("int")) + right.cast("int")).bitwiseXOR(F.shiftleft(left + 1, 17))
             return high(F.least(rank, F.lit(NONE).cast("bigint"))).bitwiseOR(x)
 
-        def merge(v: Column, low: Column, at: Column) -> Column:
-            """v after the merge of its least pair, low, at this place (from 1). All pairs differ, as they hold their first byte."""
-            left, joined = F.get(v, at - 2), F.shiftright(low, RANK_AT)
+        def merge(v: Column, low: Column, at: Column, left: Column) -> Column:
+            """v after the merge of its least pair, low, at this place (from 1), after left. All pairs differ, as they hold their first byte."""
+            joined = F.shiftright(low, RANK_AT)
             bare = F.array(left.bitwiseAND(F.lit((1 << RANK_AT) - 1)), low.bitwiseAND(F.lit((1 << RANK_AT) - (1 << FIRST_AT))).bitwiseOR(joined))
             both = F.zip_with(bare, F.array(joined, token(F.get(v, at + 1))), ranked)
             # Two passes by element cost less than slices that are concatenated.
@@ -147,13 +186,13 @@ class Codec:
             return F.array_remove(_let(both, put), F.get(v, at))
 
         def turn(v: Column, _: Column) -> Column:
-            place = lambda low: F.when(low < NONE << RANK_AT, _let(F.array_position(v, low).cast("int"), lambda at: merge(v, low, at))).otherwise(v)
+            place = lambda low: F.when(low < NONE << RANK_AT, _let(F.array_position(v, low).cast("int"), lambda at: _let(F.get(v, at - 2), lambda left: merge(v, low, at, left)))).otherwise(v)
             return _let(F.array_min(v), place)
 
         def whole(b: Column) -> Column:
-            return F.aggregate(F.sequence(F.lit(1), F.size(b)), begin(b), turn, lambda v: F.transform(F.slice(v, F.lit(2), F.size(v) - 2), lambda x: token(x).cast("int")))
+            return F.aggregate(F.slice(b, F.lit(2), F.size(b)), begin(b), turn, lambda v: F.transform(F.slice(v, F.lit(2), F.size(v) - 2), lambda x: token(x).cast("int")))
 
-        return _let(byte, whole)
+        return _let(code, whole)
 
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(text, F.lit(self.java), F.lit(0))
@@ -163,17 +202,17 @@ class Codec:
         return F.flatten(F.transform(self.words(text), self.fold))
 
     def decode(self, ids: Column) -> Column:
-        """binary: the bytes of the ids' pieces, one after the other. Latin-1 strings stand for bytes while they are joined."""
-        return F.encode(F.array_join(F.transform(ids, lambda i: F.get(self._pieces, i)), ""), "ISO-8859-1")
+        """binary: the bytes of the ids' pieces, one after the other."""
+        return F.array_join(F.transform(ids, lambda i: F.get(self._pieces, i)), "").cast("binary")
 
     def pack(self, ids: Column) -> Column:
         """binary: the ids as little-endian unsigned 32-bit integers; their upper half is 0."""
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.concat(F.lpad(F.hex(i.bitwiseAND(F.lit(255)).cast("bigint")), 2, "0"), F.lpad(F.hex(F.shiftright(i, 8).cast("bigint")), 2, "0"), F.lit("0000"))), ""))
+        return F.array_join(F.transform(ids, lambda i: F.get(self._packed, i)), "").cast("binary")
 
 
 def frequent(docs: DataFrame, codec: Codec) -> pa.Table:
-    """w and ids of the frequent words of docs (a column text), at most WORDS of them."""
-    counts = docs.select(F.explode(codec.words(F.col("text"))).alias("w")).groupBy("w").count().filter((F.col("count") >= WORTH) & (F.octet_length("w") <= WORD_BYTES))
+    """w and ids of the frequent words of a share of docs (a column text), at most WORDS of them."""
+    counts = docs.sample(SHARE, SEED).select(F.explode(codec.words(F.col("text"))).alias("w")).groupBy("w").count().filter((F.col("count") >= WORTH) & (F.octet_length("w") <= WORD_BYTES))
     # Read twice; a lost part is counted again.
     counts = counts.select("w", F.floor(F.log2("count") * STEPS).cast("int").alias("step")).persist(StorageLevel.DISK_ONLY)
     # The step from which the words number at most WORDS: as many rows as the histogram has steps.
@@ -204,6 +243,17 @@ def _table_of(sent) -> dict[str, bytes]:
     return _known[tag]
 
 
+def _paired(words: list[list[str]]) -> pa.Array:
+    """Each of the non-empty words as fold_paired reads it."""
+    made = [w.encode() for ws in words for w in ws]
+    ends = np.cumsum([0, *map(len, made)]).astype(np.int32)
+    byte = np.frombuffer(b"".join(made), np.uint8).astype(np.int32)
+    code = byte << 8
+    code[:-1] |= byte[1:]
+    code[ends[1:] - 1] = byte[ends[1:] - 1] + (1 << 16)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, words)]).astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(code)))
+
+
 def encoded(docs: DataFrame, codec: Codec, *keep: str, ids: bool = True, order: tuple[str, ...] = ()) -> DataFrame:
     """The columns keep of every row of docs, then ids (array<int>; or packed, the ids as little-endian unsigned 32-bit integers) and decoded (binary).
 
@@ -212,8 +262,6 @@ def encoded(docs: DataFrame, codec: Codec, *keep: str, ids: bool = True, order:
     result. Other columns than keep and text play no part. A text's length has no bound; a word is folded in time that grows
     with the square of its length.
     """
-    import regex
-
     spark = docs.sparkSession
     small_batches(spark)
     if spark.conf.get("spark.sql.maxPlanStringLength").startswith("2147483632"):  # unset: plans hold the tables; their descriptions needn't
@@ -233,7 +281,7 @@ def encoded(docs: DataFrame, codec: Codec, *keep: str, ids: bool = True, order:
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each text as its known stretches, with their ids and what these decode to, and the words between them."""
-        table_, split, own = _table_of(sent), regex.compile(pattern).findall, pa.array(pieces, pa.binary())
+        table_, split, own = _table_of(sent), splitter(pattern), pa.array(pieces, pa.binary())
         for batch in (b.slice(at, PART) for b in batches for at in range(0, b.num_rows, PART)):
             parts, rare = [], []
             ends = [0]
@@ -251,20 +299,20 @@ def encoded(docs: DataFrame, codec: Codec, *keep: str, ids: bool = True, order:
             decoded = pa.Array.from_buffers(pa.binary(), len(parts), [None, pa.py_buffer(starts[at].tobytes()), taken.buffers()[2] or pa.py_buffer(b"")])
             listed = lambda values: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
             told = pa.ListArray.from_arrays(pa.array(at), pa.array(every)) if ids else pa.array(parts, pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), listed(told), listed(decoded), pa.array(rare, pa.list_(pa.string()))], ["row", "told", "decoded", "rare"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), listed(told), listed(decoded), _paired(rare)], ["row", "told", "decoded", "rare"])
 
     plain = (docs.orderBy(*order) if order else docs).select(F.struct(*[F.col(c) for c in keep]).alias("row"), text)
     kind = plain.schema["row"].dataType.simpleString()
-    out = plain.mapInArrow(stretches, f"row {kind}, told {'array<array<int>>' if ids else 'array<binary>'}, decoded array<binary>, rare array<string>")
-    out = out.select("row", "told", "decoded", F.transform("rare", codec.fold).alias("folded"))
+    out = plain.mapInArrow(stretches, f"row {kind}, told {'array<array<int>>' if ids else 'array<binary>'}, decoded array<binary>, rare array<array<int>>")
+    out = out.select("row", "told", "decoded", F.transform("rare", codec.fold_paired).alias("folded"))
     between = lambda a, made, empty: F.zip_with(a, made, lambda x, y: F.concat(x, F.coalesce(y, empty)))
     told = F.flatten(between("told", "folded", F.array().cast("array<int>"))) if ids else _joined(between("told", F.transform("folded", codec.pack), F.lit(b"")))
     return out.select("row.*", told.alias("ids" if ids else "packed"), _joined(between("decoded", F.transform("folded", codec.decode), F.lit(b""))).alias("decoded"))
 
 
 def _joined(parts: Column) -> Column:
-    """The binaries, one after the other. Latin-1 strings stand for bytes while they are joined."""
-    return F.encode(F.array_join(F.transform(parts, lambda x: F.decode(x, "ISO-8859-1")), ""), "ISO-8859-1")
+    """The binaries, one after the other. A cast to string and back leaves bytes as they are."""
+    return F.array_join(parts.cast("array<string>"), "").cast("binary")
 
 
 def public_codec(name: str = "byte_bpe_multi_50k.tiktoken") -> Codec:
