@@ -38,3 +38,14 @@ def test_pieces_take_little_time():
     made = [alignment.matches(t.replace(". ", " "), t) for t in [*truth, ("La " * 1333).replace("La La La ", "La Lé La ")]]
     assert time.time() - began < 10  # difflib: 0.3 s and more a piece for its characters alone
     assert made[0] == (sum(n for *_, n in plainly(truth[0], truth[0].replace(". ", " "))), 0, sum(n for *_, n in plainly(truth[0].split(), truth[0].replace(". ", " ").split())))
+
+
+def test_summary_spreads_pieces(spark):
+    """Differing pieces are few bytes and much work, so the number of tasks isn't left to bytes."""
+    docs = spark.createDataFrame([(d, "en", f"Câu {d}. " * 20) for d in range(400)], "document long, lang string, text string")
+    both = docs.selectExpr("document", "replace(text, '. ', ' ') as got", "text as truth")
+    scored = alignment.scores(both)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and plan.count("MapInPandas") == 2  # split once, scored once
+    row = alignment.summary(docs.select("document", "lang"), scored, "lang").first()
+    assert (row["n_documents"], row["n_failures"], row["diacritic_accuracy"]) == (400, 0, 1.0)
