@@ -105,19 +105,41 @@ def vni_convert(text: Column) -> Column:
     return nfc(vni_decode(text))
 
 
+# Runs of ASCII but for a last letter that a modifier may follow, pairs, and single characters: the same parts as VNI_PATTERN gives, with ASCII in one.
+_VNI_PARTS = "(?s)[\\x00-\\x7f]+(?![^\\x00-\\x7f])|" + VNI_PATTERN.removeprefix("(?s)")
+# What pairs decode to, a row of letters for each modifier, and single characters.
+_FIRSTS, _SECONDS = ("".join(dict.fromkeys(k[n] for k in VNI_DECODE if len(k) == 2)) for n in (0, 1))
+_PAIRS = [VNI_DECODE.get(c + m) for m in _SECONDS for c in _FIRSTS]
+_SINGLE = {k: v for k, v in VNI_DECODE.items() if len(k) == 1}
+# What letters encode to: a base, and a mark for those that have one, which come first.
+_ENCODED = dict(sorted(VNI_ENCODE.items(), key=lambda kv: -len(kv[1])))
+
+
+def _beyond_ascii(part: Column) -> Column:
+    return F.octet_length(part) > F.length(part)
+
+
 def vni_decode(text: Column) -> Column:
-    table = _mapped(VNI_DECODE)
-    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(VNI_PATTERN), F.lit(0)), lambda x: F.when(x.rlike("[^\\x00-\\x7f]"), F.coalesce(F.try_element_at(table, x), x)).otherwise(x)), "")
+    pairs = F.array(*map(F.lit, _PAIRS))
+
+    def one(x: Column) -> Column:
+        at = (F.instr(F.lit(_SECONDS), F.substring(x, 2, 1)) - 1) * len(_FIRSTS) + F.instr(F.lit(_FIRSTS), F.substring(x, 1, 1))
+        return F.when(F.length(x) == 2, F.element_at(pairs, at)).otherwise(F.translate(x, "".join(_SINGLE), "".join(_SINGLE.values())))
+
+    # ASCII runs of any length, and a pair has two characters of which one at least is beyond ASCII.
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(_VNI_PARTS), F.lit(0)), lambda x: F.when(_beyond_ascii(x), one(x)).otherwise(x)), "")
 
 
 def vni_encode(text: Column) -> Column:
-    table = _mapped(VNI_ENCODE)
-    return F.array_join(F.transform(F.split(text, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
+    letters, bases, marks = "".join(_ENCODED), "".join(v[0] for v in _ENCODED.values()), "".join(v[1:] for v in _ENCODED.values())
+    known = lambda x: F.instr(F.lit(letters), x) > 0
+    one = lambda x: F.when(known(x), F.concat(F.translate(x, letters, bases), F.translate(x, letters, marks))).otherwise(x)
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(r"(?s)[\x00-\x7f]+|."), F.lit(0)), lambda x: F.when(_beyond_ascii(x), one(x)).otherwise(x)), "")
 
 
 def vni_encodable(text: Column) -> Column:
     """Whether every letter beyond ASCII has a verified form."""
-    return ~F.translate(text, "".join(VNI_ENCODE), "").rlike(r"[^\P{L}\x00-\x7f]")
+    return ~F.translate(F.regexp_replace(text, r"[\x00-\x7f]+", ""), "".join(VNI_ENCODE), "").rlike(r"\p{L}")
 
 
 def residue(decoded: Column) -> Column:

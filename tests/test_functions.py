@@ -1,5 +1,9 @@
 """Decoding, diacritics and the gate on texts that the test tables don't have."""
 
+import random
+import time
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from glyphloom.functions import codecs, screening
@@ -22,3 +26,39 @@ def test_composed(spark):
 def test_gate_without_text(spark):
     df = spark.createDataFrame([(["VNI-Times", ".VnTime"], None, True), (["Arial"], None, True)], "fonts array<string>, text string, is_doc boolean")
     assert [r[0] for r in df.select(screening.classify(F.col("fonts"), F.col("text"), F.col("is_doc"))).collect()] == ["tcvn3", None]
+
+
+def plainly_decoded(text):
+    out, n = [], 0
+    while n < len(text):
+        size = 2 if text[n : n + 2] in codecs.VNI_DECODE and n + 1 < len(text) else 1
+        out.append(codecs.VNI_DECODE.get(text[n : n + size], text[n : n + size]))
+        n += size
+    return "".join(out)
+
+
+def _mixtures():
+    rnd = random.Random(3)
+    letters = [*"aeiouyAxZ \n.", *(c for k in codecs.VNI_DECODE for c in k), *codecs.VNI_ENCODE, "ẳ", "ß", "中", "\U0001f600", "̂"]
+    return ["", *map(str, codecs.VNI_DECODE), *("".join(rnd.choices(letters, k=rnd.randint(1, 60))) for _ in range(400))]
+
+
+def test_vni_codecs_by_character(spark):
+    texts = _mixtures()
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    made = {r.t: r for r in df.select("t", codecs.vni_decode(F.col("t")).alias("d"), codecs.vni_encode(F.col("t")).alias("e"), codecs.vni_encodable(F.col("t")).alias("can")).collect()}
+    for t in texts:
+        assert made[t].d == plainly_decoded(t) and made[t].e == "".join(codecs.VNI_ENCODE.get(c, c) for c in t)
+        assert made[t].can == (not any(unicodedata.category(c)[0] == "L" and ord(c) > 127 and c not in codecs.VNI_ENCODE for c in t))
+    assert made[None].d is made[None].e is made[None].can is None
+
+
+def _seconds(spark, c, text):
+    df = spark.range(0, 40, 1, 8).select(F.repeat(F.lit(text), 20_000).alias("t"))
+    began = time.time()
+    df.select(c(F.col("t"))).write.format("noop").mode("overwrite").save()
+    return time.time() - began
+
+
+def test_vni_encode_takes_runs_at_a_time(spark):
+    assert _seconds(spark, codecs.vni_encode, "the words of a text, and Việt ") < 6
