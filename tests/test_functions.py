@@ -62,3 +62,7 @@ def _seconds(spark, c, text):
 
 def test_vni_encode_takes_runs_at_a_time(spark):
     assert _seconds(spark, codecs.vni_encode, "the words of a text, and Việt ") < 6
+
+
+def test_vni_roundtrip_takes_runs_at_a_time(spark):
+    assert _seconds(spark, lambda t: codecs.vni_decode(codecs.vni_encode(t)) == t, "the words of a text, and Việt Nam được đến ") < 6
