@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from glyphloom.functions import codecs, screening
 from glyphloom.functions import text as T
+from glyphloom.operators import mixed, synthetic
 
 
 def one(spark, made, **values):
@@ -66,3 +67,11 @@ def test_vni_encode_takes_runs_at_a_time(spark):
 
 def test_vni_roundtrip_takes_runs_at_a_time(spark):
     assert _seconds(spark, lambda t: codecs.vni_decode(codecs.vni_encode(t)) == t, "the words of a text, and Việt Nam được đến ") < 6
+
+
+def test_dropped_takes_runs_at_a_time(spark):
+    one = F.repeat(F.lit("the words of a text, and Việt Nam được đến "), 20_000)
+    df = spark.range(0, 40, 1, 8).select(F.col("id").alias("document"), F.concat(F.lit("ẳ\n"), one, F.lit("\n\n"), one).alias("text"))
+    began = time.time()
+    assert [tuple(r) for r in synthetic.dropped(synthetic.vni_lines(df)).collect()] == [("ẳ", 40)]
+    assert time.time() - began < 20
