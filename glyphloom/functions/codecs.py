@@ -31,6 +31,8 @@ VNI_ALONE = {"ñ": "đ", "ò": "ị", "æ": "ỉ", "ó": "ĩ"}
 LATIN1_VN = "ÀÁÂÃÈÉÊÌÍÒÓÔÕÙÚÝàáâãèéêìíòóôõùúý"
 ACCENTED = "àáảãạăằắẳẵặâầấẩẫậèéẻẽẹêềếểễệìíỉĩịòóỏõọôồốổỗộơờớởỡợùúủũụưừứửữựỳýỷỹỵ"
 HIGH = "\xa1-\xff"
+# Characters of HIGH that no Vietnamese text has.
+FOREIGN = "".join(c for c in map(chr, range(0xA1, 0x100)) if c not in LATIN1_VN)
 
 
 def both_cases(table: dict[str, str]) -> dict[str, str]:
@@ -86,7 +88,7 @@ def tcvn3_mapped(text: Column) -> Column:
 
 def upper_runs(text: Column) -> Column:
     """Lines with three or more ASCII letters, all of them capitals, wholly in capitals: the encoding has no accented ones."""
-    shout = lambda x: (F.length(F.regexp_replace(x, "[^A-Za-z]", "")) >= 3) & ~x.rlike("[a-z]")
+    shout = lambda x: ~x.rlike("[a-z]") & (F.length(F.regexp_replace(x, "[^A-Za-z]+", "")) >= 3)
     return F.array_join(F.transform(F.split(text, "\n"), lambda x: F.when(shout(x), F.upper(x)).otherwise(x)), "\n")
 
 
@@ -144,12 +146,12 @@ def vni_encodable(text: Column) -> Column:
 
 def residue(decoded: Column) -> Column:
     """Characters of the upper half of Latin-1 that no Vietnamese text has."""
-    return F.length(F.regexp_replace(decoded, f"[^{HIGH}]|[{LATIN1_VN}]", ""))
+    return F.length(F.regexp_replace(decoded, f"[^{FOREIGN}]+", ""))
 
 
 def unmapped(decoded: Column) -> Column:
     """The distinct characters that residue() counts."""
-    return F.array_distinct(F.filter(F.split(F.regexp_replace(decoded, f"[^{HIGH}]|[{LATIN1_VN}]", ""), ""), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.split(F.regexp_replace(decoded, f"[^{FOREIGN}]+", ""), ""), lambda x: x != ""))
 
 
 def misread(decoded: Column) -> Column:
@@ -158,4 +160,4 @@ def misread(decoded: Column) -> Column:
 
 
 def high_count(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, f"[^{HIGH}]", ""))
+    return F.length(F.regexp_replace(text, f"[^{HIGH}]+", ""))

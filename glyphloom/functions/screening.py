@@ -14,7 +14,7 @@ FEW_LEGACY, FEW_HIGH, VNI_SHARE = 20, 50, 0.35
 
 
 def _count(text: Column, chars: str) -> Column:
-    return F.length(F.regexp_replace(text, f"[^{chars}]", ""))
+    return F.length(F.regexp_replace(text, f"[^{chars}]+", ""))
 
 
 def text_is_legacy(text: Column) -> Column:

@@ -15,7 +15,8 @@ TOKEN_MARGIN = 2
 def line_class(line: Column) -> Column:
     """tcvn3, vni, or null for a line without evidence."""
     t, v = codecs.misread(codecs.tcvn3_decode(line)), codecs.misread(codecs.vni_decode(line))
-    return F.when((codecs.high_count(line) == 0) | (t == v), F.lit(None).cast("string")).when(v < t, "vni").otherwise("tcvn3")
+    read = F.transform(F.array(F.struct(t.alias("t"), v.alias("v"))), lambda x: F.when(x["t"] == x["v"], F.lit(None).cast("string")).when(x["v"] < x["t"], "vni").otherwise("tcvn3"))  # each reading is made once
+    return F.when(codecs.high_count(line) == 0, F.lit(None).cast("string")).otherwise(F.element_at(read, 1))
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -39,10 +40,10 @@ def _by_token(line: Column, state: Column) -> Column:
 
 def decode(docs: DataFrame) -> DataFrame:
     """doc_id, text, and how many lines were decided as either, inherited, or read by token. Null texts give no row."""
-    plain = lines(docs).withColumn("read", F.when(F.col("state") == "vni", codecs.vni_decode(F.col("line"))).otherwise(codecs.tcvn3_decode(F.col("line"))))
-    good, bad = plain.filter(codecs.residue(F.col("read")) == 0), plain.filter(codecs.residue(F.col("read")) > 0)  # few lines go on to the second reading
-    retried = bad.withColumn("again", _by_token(F.col("line"), F.col("state"))).withColumn("better", codecs.residue(F.col("again")) < codecs.residue(F.col("read")))
-    retried = retried.withColumn("read", F.when(F.col("better"), F.col("again")).otherwise(F.col("read"))).withColumn("by_token", F.col("better")).drop("again", "better")
-    both = good.withColumn("by_token", F.lit(False)).unionByName(retried)
+    plain = lines(docs).withColumn("plain", F.when(F.col("state") == "vni", codecs.vni_decode(F.col("line"))).otherwise(codecs.tcvn3_decode(F.col("line"))))
+    # In one pass, so that nothing is read or dealt twice; only the few lines with a residue get the second reading.
+    both = plain.withColumn("again", F.when(codecs.residue(F.col("plain")) > 0, _by_token(F.col("line"), F.col("state"))))
+    both = both.withColumn("by_token", F.coalesce(codecs.residue(F.col("again")) < codecs.residue(F.col("plain")), F.lit(False)))
+    both = both.withColumn("read", F.when(F.col("by_token"), F.col("again")).otherwise(F.col("plain")))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "read"))), lambda x: x["read"]), "\n")
     return both.groupBy("doc_id").agg(text.alias("text"), *[F.count_if(F.col("decided") == k).alias(k) for k in ("tcvn3", "vni")], F.count_if(F.col("decided").isNull()).alias("inherited"), F.count_if("by_token").alias("by_token"))

@@ -75,3 +75,11 @@ def test_dropped_takes_runs_at_a_time(spark):
     began = time.time()
     assert [tuple(r) for r in synthetic.dropped(synthetic.vni_lines(df)).collect()] == [("ẳ", 40)]
     assert time.time() - began < 20
+
+
+def test_mixed_lines_in_one_pass(spark):
+    df = spark.createDataFrame([(1, "Th«ng t−\nBoä Taøi\nÿ¿ Taøi hoµ\n12")], "doc_id long, text string").repartition(2)
+    made = mixed.decode(df)
+    assert made.first().asDict() == {"doc_id": 1, "text": "Thông tư\nBộ Tài\nÿ¿ Taứi hoà\n12", "tcvn3": 2, "vni": 1, "inherited": 1, "by_token": 0}
+    plan = made.select("doc_id", "tcvn3", "vni", "inherited")._jdf.queryExecution().executedPlan().toString()
+    assert "Union" not in plan and "Window" not in plan  # counts alone need no second reading
